@@ -190,7 +190,7 @@ def _apportion_sql(name: str, frm: str, group: str, key: str, n: str, seats: str
 
 OP10_SQL = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size,
          md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS ord
   FROM documents
 ), s1 AS (
