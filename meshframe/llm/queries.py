@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash_dedup, substring_dedup
+from . import decontaminate, exact_dedup, mixing, simhash_dedup, substring_dedup
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.decontaminate(docs, benchmark).drop("hit_spans")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,5 +29,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op8_exact_dedup, op9_simhash_dedup, op10_mix_sources)}
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL, "op10_mix_sources": mixing.OP10_SQL}
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_decontaminate, op8_exact_dedup, op9_simhash_dedup, op10_mix_sources)}
+ORACLE_SQL = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_mix_sources": mixing.OP10_SQL}
