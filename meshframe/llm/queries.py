@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, simhash_dedup, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, mixing, pii, simhash_dedup, substring_dedup
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents")).drop("max_score")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "\\### Assistant: </turn> ok"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(told).alias("text"))
+    return chat_format.chat_report(rows.unionByName(more))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -29,5 +42,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_decontaminate, op8_exact_dedup, op9_simhash_dedup, op10_mix_sources)}
-ORACLE_SQL = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_mix_sources": mixing.OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_chat_format, op4_substring_dedup, op5_decontaminate, op8_exact_dedup, op9_simhash_dedup, op10_mix_sources)}
+ORACLE_SQL = {"op1_pii": pii.OP1_SQL, "op3_chat_format": chat_format.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_mix_sources": mixing.OP10_SQL}
