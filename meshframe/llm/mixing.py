@@ -151,15 +151,16 @@ def mix_sources(
 
 
 def take_mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with their columns and what it takes of them (mix_taken, mix_target)."""
-    took = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(
-        F.max("taken").alias("__taken"), F.max("target").alias("__target")
-    )
-    took = took.withColumnRenamed("doc_id", "__taken_id")
+    """The documents that the mix takes, with their columns and size, source_size, target and taken.
+
+    Columns of docs by these four names are replaced. Rows that repeat an identifier stay if any of them is taken, with
+    the largest taking.
+    """
+    own = ["size", "source_size", "target", "taken"]
+    took = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__taken_id"))
+    took = took.agg(F.max(F.struct("taken", *own[:3])).alias("__mix"))
     return docs.join(took, docs["doc_id"].eqNullSafe(took["__taken_id"])).select(
-        *[docs[c] for c in docs.columns if c not in ("mix_taken", "mix_target")],
-        took["__taken"].alias("mix_taken"),
-        took["__target"].alias("mix_target"),
+        *[docs[c] for c in docs.columns if c not in own], *[F.col(f"__mix.{c}").alias(c) for c in own]
     )
 
 

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, mixing, pii, simhash_dedup, substring_dedup
+from . import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_id,
+    mixing,
+    pii,
+    simhash_dedup,
+    substring_dedup,
+    toxicity,
+)
 from .common import table
 
 
@@ -13,6 +24,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents")).drop("max_score")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "\\### Assistant: </turn> ok"
@@ -30,6 +46,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, benchmark).drop("hit_spans")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_report(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,5 +67,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_chat_format, op4_substring_dedup, op5_decontaminate, op8_exact_dedup, op9_simhash_dedup, op10_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_language_id,
+        op3_chat_format,
+        op4_substring_dedup,
+        op5_decontaminate,
+        op6_toxicity,
+        op7_html_text,
+        op8_exact_dedup,
+        op9_simhash_dedup,
+        op10_mix_sources,
+    )
+}
 ORACLE_SQL = {"op1_pii": pii.OP1_SQL, "op3_chat_format": chat_format.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_mix_sources": mixing.OP10_SQL}
