@@ -43,7 +43,7 @@ def merge_round(runs: DataFrame, group: str) -> DataFrame:
     """
     return (
         runs.groupBy(*SAME, group)
-        .agg(F.min(F.struct("__keep")).alias("__least"), F.sum("__n").alias("__n"))
+        .agg(F.min(F.struct(F.isnull("__keep").alias("none"), "__keep")).alias("__least"), F.sum("__n").alias("__n"))
         .select(*SAME, group, F.col("__least.__keep").alias("__keep"), "__n")
     )
 

@@ -160,7 +160,7 @@ def take_mix(docs: DataFrame) -> DataFrame:
     took = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__taken_id"))
     took = took.agg(F.max(F.struct("taken", *own[:3])).alias("__mix"))
     return docs.join(took, docs["doc_id"].eqNullSafe(took["__taken_id"])).select(
-        *[docs[c] for c in docs.columns if c not in own], *[F.col(f"__mix.{c}").alias(c) for c in own]
+        *[docs[f"`{c}`"] for c in docs.columns if c not in own], *[F.col(f"__mix.{c}").alias(c) for c in own]
     )
 
 
