@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -27,7 +27,7 @@ def held_out(id_col: str | Column) -> Column:
 class TokenTable:
     """values of tokens (split at white space, lower case) under a function from a token to a row of numbers."""
 
-    def __init__(self, row: Callable[[str], np.ndarray], width: int) -> None:
+    def __init__(self, row: Callable[[str], Sequence[float]], width: int) -> None:
         self.row, self.width = row, width
         self._reset()
 
@@ -48,7 +48,7 @@ class TokenTable:
         if len(self.at) > REMEMBERED:
             self._reset()
         found = [*map(self.at.get, tokens)]
-        extra: dict[int, np.ndarray] = {}
+        extra: dict[int, Sequence[float]] = {}
         if None in found:
             for i, k in enumerate(found):
                 if k is None:
@@ -61,3 +61,13 @@ class TokenTable:
         for i, v in extra.items():
             out[i] = v
         return out
+
+
+_last: list[tuple[Hashable, TokenTable]] = []
+
+
+def kept_table(key: Hashable, row: Callable[[str], Sequence[float]], width: int) -> TokenTable:
+    """The table that this worker process made for the key in an earlier task, or a new one; only one is kept."""
+    if not _last or _last[0][0] != key:
+        _last[:] = [(key, TokenTable(row, width))]
+    return _last[0][1]

@@ -6,7 +6,9 @@ that formula from document labels, on a bounded sample of labelled rows; the sen
 where a document offends.
 """
 
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .language_id import sample_ids
-from .tokens import TokenTable, held_out, stripped
+from .tokens import TokenTable, held_out, kept_table, stripped
 
 #: Labelled documents of each class, and characters of each class, that training takes at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 2048, 10_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 2048, 6_000_000
 FEATURES = 1 << 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 #: Features whose documents of either label differ by less than this chi-square get no weight: among so many features,
@@ -59,61 +61,90 @@ def sentence_heads(ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new | ((np.arange(len(ends)) - head) % SENTENCE_WORDS == 0))
 
 
-def chi2(word: np.ndarray, doc: np.ndarray, owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each feature, how far the labels of the documents that have it are from the sample's."""
-    n_docs, n_words = len(y), int(word.max()) + 1
-    pairs = np.unique(word * n_docs + doc)
-    word, doc = pairs // n_docs, pairs % n_docs
-    first = np.searchsorted(owner, np.arange(n_words + 1))
-    k = first[word + 1] - first[word]
-    at = np.repeat(first[word] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-    pairs = np.unique(feature[at] * n_docs + np.repeat(doc, k))
-    have = np.bincount(pairs // n_docs, minlength=FEATURES).astype(float)
-    bad = np.bincount(pairs // n_docs, weights=y[pairs % n_docs], minlength=FEATURES)
-    share = y.mean()
-    spread = have * (n_docs - have) / n_docs * share * (1 - share)
-    return np.where(spread > 0, (bad - have * share) ** 2 / np.maximum(spread, 1e-12), 0.0)
+class _Sample:
+    """Token numbers and sentence heads of each document, and the features of each token in one flat array."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.vocabulary: dict[str, int] = {}
+        flat, edges = array("i"), array("i", [0])
+        self.tokens, self.heads, self.n_sentences = [], [], []
+        for text in texts:
+            own = _lines(text).lower().split()
+            ids = np.empty(len(own), dtype=np.int32)
+            for i, t in enumerate(own):
+                k = self.vocabulary.get(t)
+                if k is None:
+                    k = self.vocabulary[t] = len(self.vocabulary)
+                    flat.extend(features(t))
+                    edges.append(len(flat))
+                ids[i] = k
+            self.tokens.append(ids)
+            heads = sentence_heads(np.array([t[-1] in ENDS for t in own], dtype=bool))
+            self.heads.append(heads.astype(np.int32))
+            said = np.array([edges[k + 1] > edges[k] for k in ids.tolist()], dtype=bool)
+            self.n_sentences.append(int((np.add.reduceat(said, heads) > 0).sum()) if len(heads) else 0)
+        self.feature, self.edges = np.array(flat, dtype=np.int32), np.array(edges, dtype=np.int32)
+
+    def features_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of the words, and for each the place of its word."""
+        k = self.edges[words + 1] - self.edges[words]
+        at = np.repeat(self.edges[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return self.feature[at], np.repeat(np.arange(len(words)), k)
+
+    def chi2(self, y: np.ndarray) -> np.ndarray:
+        """Of each feature, how far the labels of the documents that have it are from the sample's; a document at a time."""
+        have, bad = np.zeros(FEATURES), np.zeros(FEATURES)
+        for ids, label in zip(self.tokens, y, strict=True):
+            found = np.unique(self.features_of(np.unique(ids))[0])
+            have[found] += 1
+            bad[found] += label
+        n, share = len(y), y.mean()
+        spread = have * (n - have) / n * share * (1 - share)
+        return np.where(spread > 0, (bad - have * share) ** 2 / np.maximum(spread, 1e-12), 0.0)
 
 
 def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
-    """Full-batch Adam on the noisy-or likelihood; the same rows in the same order give the same model."""
-    vocabulary: dict[str, int] = {}
-    tokens, sentence_of_token, doc_of_sentence, n_sentences = [], [], [], 0
-    for d, text in enumerate(texts):
-        own = _lines(text).lower().split()
-        ids = np.array([vocabulary.setdefault(t, len(vocabulary)) for t in own], dtype=np.int64)
-        heads = sentence_heads(np.array([t[-1] in ENDS for t in own], dtype=bool))
-        mark = np.zeros(len(own), dtype=np.int64)
-        mark[heads] = 1
-        tokens.append(ids)
-        sentence_of_token.append(n_sentences + np.cumsum(mark) - 1)
-        doc_of_sentence.append(np.full(len(heads), d))
-        n_sentences += len(heads)
-    weights = np.zeros(FEATURES)
+    """Full-batch Adam on the noisy-or likelihood; the same rows in the same order give the same model.
+
+    Only sentences with a telling feature are kept; the others all have the bias's probability and are counted.
+    """
     y = np.array(labels, dtype=float)
-    if not n_sentences or not 0 < y.sum() < len(y):
+    weights = np.zeros(FEATURES)
+    if not 0 < y.sum() < len(y):
         return ToxicityModel(weights, BIAS)
-    word, sentence, doc = (np.concatenate(x) for x in (tokens, sentence_of_token, doc_of_sentence))
-    of_word = [features(t) for t in vocabulary]
-    owner = np.repeat(np.arange(len(of_word)), [len(x) for x in of_word])
-    feature = np.array([f for x in of_word for f in x], dtype=np.int64)
-
-    ok = chi2(word, doc[sentence], owner, feature, y)[feature] >= LEAST_CHI2
-    owner, feature = owner[ok], feature[ok]
+    sample = _Sample(texts)
+    telling = sample.chi2(y) >= LEAST_CHI2
+    every = np.arange(len(sample.vocabulary))
+    f, of = sample.features_of(every)
+    word_ok = np.bincount(of, weights=telling[f], minlength=len(every)) > 0
+    words, docs, sentences, plain, n = [], [], [], np.zeros(len(y)), 0
+    for d, (ids, heads) in enumerate(zip(sample.tokens, sample.heads, strict=True)):
+        at = np.flatnonzero(word_ok[ids])
+        own, place = np.unique(np.searchsorted(heads, at, "right"), return_inverse=True)
+        plain[d] = sample.n_sentences[d] - len(own)
+        words.append(ids[at]), sentences.append(n + place), docs.append(np.full(len(own), d))
+        n += len(own)
+    if not n:
+        return ToxicityModel(weights, BIAS)
+    word, sentence, doc = np.concatenate(words), np.concatenate(sentences), np.concatenate(docs)
+    used, word = np.unique(word, return_inverse=True)
+    feature, owner = sample.features_of(used)
+    feature, owner = feature[telling[feature]], owner[telling[feature]]
 
-    rate, share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y), 1 / len(y)
+    rate = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     m, v, bias, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), BIAS, 0.0, 0.0
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, ROUNDS + 1):
-        of = np.bincount(owner, weights=weights[feature], minlength=len(of_word))
-        z = bias + np.bincount(sentence, weights=of[word], minlength=n_sentences)
-        z = np.clip(z, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        none = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
+        score = np.bincount(owner, weights=weights[feature], minlength=len(used))
+        p = sigmoid(bias + np.bincount(sentence, weights=score[word], minlength=n))
+        p0 = sigmoid(bias)
+        none = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-p0)
         whole = np.clip(1 - np.exp(none), 1e-9, 1.0)
-        pull = np.where(y > 0, -(1 - whole) / whole, 1.0) * rate * share
+        pull = np.where(y > 0, -(1 - whole) / whole, 1.0) * rate
         gz = pull[doc] * p
-        g = np.bincount(feature, weights=np.bincount(word, weights=gz[sentence], minlength=len(of_word))[owner], minlength=FEATURES) + DECAY * weights
-        gb = gz.sum()
+        by_word = np.bincount(word, weights=gz[sentence], minlength=len(used))
+        g = np.bincount(feature, weights=by_word[owner], minlength=FEATURES) + DECAY * weights
+        gb = gz.sum() + (pull * plain).sum() * p0
         m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
         v, vb = 0.999 * v + 0.001 * g * g, 0.999 * vb + 0.001 * gb * gb
         step = RATE / (1 - 0.9**k)
@@ -138,30 +169,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train([r["__text"] for r in rows], [r["y"] for r in rows])
 
 
-def token_row(model: ToxicityModel, token: str) -> np.ndarray:
-    return np.array([model.weights[features(token)].sum(), token[-1] in ENDS])
+def token_row(model: ToxicityModel, token: str) -> tuple[float, float, float]:
+    """Weight of a token, whether it ends a sentence, and whether it is more than punctuation."""
+    w = model.weights
+    found = features(token)
+    return sum([w[f] for f in found]), float(token[-1] in ENDS), float(bool(found))
 
 
 def sentence_scores(model: ToxicityModel, table: TokenTable, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """First token and probability of each sentence."""
+    """First token and probability of each sentence that says anything."""
     rows = table.values(_lines(text))
     heads = sentence_heads(rows[:, 1] > 0)
-    z = np.add.reduceat(rows[:, 0], heads) if len(heads) else np.zeros(0)
+    if not len(heads):
+        return heads, np.zeros(0)
+    z, _, said = np.add.reduceat(rows, heads, axis=0).T
+    heads, z = heads[said > 0], z[said > 0]
     return heads, 1 / (1 + np.exp(-np.clip(model.bias + z, -30, 30)))
 
 
 def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+    return float(0.0 - np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with two more columns: `out`, the probability of the whole text (0 without words), and `out`_worst, the first
     word (counted from 0) of the worst sentence, null without words. Columns of docs by these names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = held.value
-        table = TokenTable(lambda t: token_row(m, t), 2)
+        table = kept_table(key, lambda t: token_row(m, t), 3)
         for texts in batches:
             found = []
             for t in texts:
@@ -171,7 +209,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", o
 
     score = F.pandas_udf(run, "p double, at long")
     rest = [c for c in docs.columns if c not in (out, f"{out}_worst", "__tox")]
-    scored = docs.select(*[docs[c] for c in rest], score(docs[text_col].cast("string")).alias("__tox"))
+    rest = [F.col(f"`{c}`") for c in rest]
+    scored = docs.select(*rest, score(docs[text_col].cast("string")).alias("__tox"))
     return scored.select(*rest, F.col("__tox.p").alias(out), F.col("__tox.at").alias(f"{out}_worst"))
 
 
