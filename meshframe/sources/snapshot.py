@@ -1,8 +1,9 @@
 """Snapshots as a Spark data source, and the mesh's sinks.
 
 spark.read.format("amrdat").option("table", "header|forest|blocks|cells").load(path): a cells scan has one task for each
-run of blocks and reads only the bytes of the fields asked for (option `fields`); filters on igrid and level skip
-blocks before anything of them is read. Every executor must see the path.
+run of blocks and reads only the bytes of the fields asked for (option `fields`). With the option `pushdown` and Spark's
+spark.sql.python.filterPushdown.enabled, filters on igrid and level skip blocks before anything of them is read. Every
+executor must see the path.
 """
 
 from __future__ import annotations
@@ -64,14 +65,6 @@ class SnapshotReader(DataSourceReader):
         self.step = int(options.get("blocks_a_task", BLOCKS_A_TASK))
         self.tests: list[tuple[str, str, int]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = getattr(f, "attribute", (None,))
-            if type(f) in _TESTS and name in (("igrid",), ("level",)) and self.table == "cells":
-                self.tests.append((name[0], _TESTS[type(f)], f.value))
-            else:
-                yield f
-
     def _kept(self, level: np.ndarray) -> np.ndarray:
         values = {"igrid": np.arange(1, len(level) + 1), "level": level}
         ok = np.ones(len(level), dtype=bool)
@@ -115,6 +108,18 @@ class SnapshotReader(DataSourceReader):
         return pa.RecordBatch.from_pydict({**cols, **{k: v.reshape(-1) for k, v in arrays.items()}})
 
 
+class FilteringReader(SnapshotReader):
+    """Takes filters on igrid and level; Spark asks for them only where spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = getattr(f, "attribute", (None,))
+            if type(f) in _TESTS and name in (("igrid",), ("level",)) and self.table == "cells":
+                self.tests.append((name[0], _TESTS[type(f)], f.value))
+            else:
+                yield f
+
+
 class Snapshot(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -137,7 +142,8 @@ class Snapshot(DataSource):
         return "igrid long, level int, i long, j long, k long, " + ", ".join(f"`{x}` double" for x in names)
 
     def reader(self, schema) -> DataSourceReader:
-        return SnapshotReader(dict(self.options))
+        wanted = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (FilteringReader if wanted else SnapshotReader)(dict(self.options))
 
 
 def open_snapshot(spark: SparkSession, path: str, fields: tuple[str, ...] | None = None) -> tuple[codec.Header, Mesh]:

@@ -33,8 +33,11 @@ def test_snapshot_round_trip(spark, refined, tmp_path):
     assert ghost.ghosts(m).count() == ghost.ghosts(refined).count()
     one = snapshot.open_snapshot(spark, path, ("b2",))[1]
     assert one.cells.columns == ["level", "i", "j", "k", "b2"]
-    some = spark.read.format("amrdat").options(table="cells", fields="rho", blocks_a_task="4").load(path).where("igrid = 3")
-    assert some.count() == 64 and some.select("igrid").distinct().count() == 1
+    for push in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", push)
+        some = spark.read.format("amrdat").options(table="cells", fields="rho", blocks_a_task="4", pushdown=push).load(path)
+        assert some.where("igrid = 3").count() == 64 and some.where("level > 1").count() == 8 * 64
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     head = spark.read.format("amrdat").options(table="header").load(path).first()
     assert head.w_names == ["rho", "b1", "b2"] and head.domain_nx == [8, 8, 8] and head.time == 2.5
     tree = spark.read.format("amrdat").options(table="blocks").load(path)
