@@ -8,8 +8,9 @@ where it lies, and WORDS words and GRAMS n-grams, the most frequent ones, make t
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TokenTable, held_out, stripped
+from .tokens import TokenTable, held_out, kept_table, stripped
 
 SAMPLE_DOCS = 8192
 WORDS, GRAMS = 60_000, 60_000
@@ -29,11 +30,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """langs in order of their share, and for each word and n-gram the log frequency in each language."""
+    """langs in order of their share, and for each word and n-gram the log frequency in each language
+    less the mean over languages."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, tuple[float, ...]]
+    grams: dict[str, tuple[float, ...]]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -82,31 +84,31 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         totals.update(r["by"])
     langs = [x for x, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))]
 
-    def logs(rows: list) -> dict[str, np.ndarray]:
+    def logs(rows: list) -> dict[str, tuple[float, ...]]:
+        if not langs:
+            return {}
         n = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], dtype=float).reshape(-1, len(langs)) + 0.1
         table = np.log(n / n.sum(axis=0))
-        return dict(zip((r["piece"] for r in rows), table, strict=True))
+        table -= table.mean(axis=1, keepdims=True)
+        return dict(zip((r["piece"] for r in rows), map(tuple, table.tolist()), strict=True))
 
     return LanguageModel(langs, logs(most[0]), logs(most[1]))
 
 
-def token_row(model: LanguageModel, token: str) -> np.ndarray:
-    """Log frequencies of a token relative to their mean, and whether it has a letter."""
-    out = np.zeros(len(model.langs) + 1)
+def token_row(model: LanguageModel, token: str) -> Sequence[float]:
+    """What a token says for each language, and whether it has a letter."""
     w = stripped(token)
-    if not any(c.isalpha() for c in w):
-        return out
-    out[-1] = 1
+    if not w.isalpha() and not any(map(str.isalpha, w)):
+        return (0.0,) * (len(model.langs) + 1)
     known = model.words.get(w)
-    if known is None:
-        for n in range(LONGEST_GRAM, 0, -1):
-            hits = [model.grams[g] for g in grams(w, n) if g in model.grams]
-            if hits:
-                known = DISCOUNT[n] * np.mean(hits, axis=0)
-                break
     if known is not None:
-        out[:-1] = known - known.mean()
-    return out
+        return (*known, 1.0)
+    for n in range(LONGEST_GRAM, 0, -1):
+        hits = [x for x in map(model.grams.get, grams(w, n)) if x is not None]
+        if hits:
+            share = DISCOUNT[n] / len(hits)
+            return (*[share * sum(x) for x in zip(*hits, strict=True)], 1.0)
+    return (*(0.0,) * len(model.langs), 1.0)
 
 
 def predict_text(model: LanguageModel, table: TokenTable, text: str | None) -> tuple[str, float]:
@@ -128,10 +130,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     one; no rows give no rows. Other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        table = TokenTable(lambda t: token_row(m, t), len(m.langs) + 1)
+        table = kept_table(key, lambda t: token_row(m, t), len(m.langs) + 1)
         for batch in batches:
             found = [predict_text(m, table, t.as_py()) for t in batch.column(2)]
             langs, scores = zip(*found, strict=True) if found else ((), ())
