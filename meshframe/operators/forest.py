@@ -87,7 +87,7 @@ def decode(bits: DataFrame, order: DataFrame) -> DataFrame:
     both = both.withColumn("parent", F.last(F.when(F.col("as_parent"), F.col("pos")), ignorenulls=True).over(line))
     n = both.where("NOT as_parent").drop("as_parent")
     slot = F.row_number().over(Window.partitionBy("root", "parent").orderBy("pos")) - 1
-    n = n.withColumn("slot", slot)
+    n = checkpointed(n.withColumn("slot", slot))  # each level below reads it
     deepest = n.agg(F.max("level")).first()[0] or 0
     at = n.where("level = 1").join(order.select("sfc", *BLOCK), F.col("root") == F.col("sfc")).drop("sfc")
     out = at

@@ -8,7 +8,7 @@ import pytest
 
 from meshframe.operators import ghost
 from meshframe.sources import codec, snapshot
-from tests.test_ghosts import make
+from test_ghosts import make
 
 
 @pytest.fixture(scope="module")
