@@ -57,6 +57,16 @@ def slices(at: np.ndarray) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts take about `size` bytes, or are one text."""
+    _, at = buffers(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
     data, at = buffers(column)
     for a, b in slices(at):

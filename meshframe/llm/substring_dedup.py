@@ -6,8 +6,8 @@ Equal windows have equal minimisers, so they meet in one bucket. There, windows
 neighbours are compared word for word, and every window that is not the first of its kind is marked. Marked stretches
 go back to their documents.
 
-Before anything travels, a batch keeps one of the super-k-mers whose words are the same and marks the others, so that a
-passage or a text that fills a third of all rows sends one copy a batch. Super-k-mers of one bucket and batch are packed
+Before anything travels, a piece of a partition keeps one of the super-k-mers whose words are the same and marks the others, so that a
+passage or a text that fills a third of all rows sends one copy a piece. Super-k-mers of one bucket and piece are packed
 and compressed together.
 """
 
@@ -23,11 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Hashes, words_of
+from .bytewords import Hashes, pieces, words_of
 
 WINDOW = 20
 MER = 3
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 8
+#: Text that a map task works on at a time; copies within it are merged before they travel.
+PIECE = 1 << 23
 
 SENT = "bucket int, kind int, packed binary"
 MARKED = "doc_id long, first int, last int"
@@ -78,7 +80,7 @@ def super_kmers(words, window: int = WINDOW) -> tuple[np.ndarray, ...]:
 def _cut(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1, PIECE)):
             known = np.asarray(batch.column(0).is_valid())
             ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
             parts, texts = [], []
