@@ -6,6 +6,9 @@ everything else is keyed by the root, a level or a block index.
 
 from __future__ import annotations
 
+from itertools import product
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from .lineage import checkpointed
 from .mesh import BLOCK, Mesh
 
 CHUNK = 1 << 16
+#: Nodes that the driver decodes by itself, about 60 bytes each.
+SMALL = 100_000
 LOW = Window.unboundedPreceding
 
 
@@ -220,8 +225,34 @@ def uniform_forest(spark: SparkSession, ng: tuple[int, int, int]) -> DataFrame:
     return o.select((F.col("sfc") + 1).alias("igrid"), F.lit(1).alias("level"), *BLOCK, F.lit(True).alias("is_leaf"), F.col("sfc").alias("root"))
 
 
-def mesh_blocks(spark: SparkSession, bits: DataFrame, ng: tuple[int, int, int]) -> DataFrame:
-    """The decoded blocks, written out once: every operator joins them, and none should decode them again."""
+def _small_blocks(bits: list[bool], ng: tuple[int, int, int]) -> pa.Table:
+    """The same nodes as decode() gives, by a stack, for a walk that the driver holds."""
+    def code(b: tuple[int, int, int]) -> int:
+        return sum((x >> t & 1) << (3 * t + a) for a, x in enumerate(b) for t in range(max(ng).bit_length()))
+
+    rows, leaves, at = [], 0, 0
+    for root, b in enumerate(sorted(product(*map(range, ng)), key=code)):
+        todo = [(1, *b)]
+        while todo:
+            level, x, y, z = todo.pop()
+            leaves += bits[at]
+            rows.append((leaves if bits[at] else -1, level, x, y, z, bits[at], root))
+            if not bits[at]:
+                todo += [(level + 1, 2 * x + (c & 1), 2 * y + (c >> 1 & 1), 2 * z + (c >> 2)) for c in range(7, -1, -1)]
+            at += 1
+    if at != len(bits):
+        raise ValueError("the walk has more nodes than its trees")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+    names = ("igrid", "level", *BLOCK, "is_leaf", "root")
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+
+
+def mesh_blocks(spark: SparkSession, bits: DataFrame, ng: tuple[int, int, int], small: int = SMALL) -> DataFrame:
+    """The decoded blocks (igrid, level, b1, b2, b3, is_leaf, root), held or written out once: every operator joins
+    them, and none should decode them again. A walk of at most `small` nodes is decoded on the driver."""
+    head = bits.select("pos", "is_leaf").limit(small + 1).collect()
+    if len(head) <= small:
+        return spark.createDataFrame(_small_blocks([r.is_leaf for r in sorted(head)], ng))
     return checkpointed(decode(bits, level1_order(spark, ng)).select("igrid", "level", *BLOCK, "is_leaf", "root"))
 
 

@@ -95,6 +95,9 @@ def test_decode_and_encode(spark, seed, chunk, monkeypatch):
     nodes = forest.decode(as_bits(spark, bits), order)
     got = sorted((r.pos, r.level, r.b1, r.b2, r.b3, r.is_leaf, r.igrid) for r in nodes.collect())
     assert got == walk(bits, roots)
+    names = ["igrid", "level", "b1", "b2", "b3", "is_leaf", "root"]
+    both = [sorted(map(tuple, forest.mesh_blocks(spark, as_bits(spark, bits), ng, small).select(names).collect())) for small in (0, 10_000)]
+    assert both[0] == both[1] == sorted(map(tuple, nodes.select(names).collect()))
     leaves = nodes.where("is_leaf").select("level", "b1", "b2", "b3")
     deepest = max(x[1] for x in got)
     assert [r.is_leaf for r in forest.encode(leaves, order, deepest).orderBy("pos").collect()] == bits
