@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshframe.llm import decontaminate, exact_dedup, mixing, simhash_dedup, toxicity
-from meshframe.llm.common import table, written
+from meshframe.llm.common import removed, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns; of the tables between, the one before is deleted when the next is complete."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -31,11 +31,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder, for results as wide as texts."""
+def written(df: DataFrame, name: str) -> str:
+    """Write a Parquet table into the shared folder, for results as wide as texts; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that written() made."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole(text: str | Column) -> Column:
