@@ -1,6 +1,6 @@
 """Snapshots as a Spark data source, and the mesh's sinks.
 
-spark.read.format("amrdat").option("table", "header|forest|blocks|cells").load(path): a cells scan has one task for each
+spark.read.format("meshframe").option("table", "header|forest|blocks|cells").load(path): a cells scan has one task for each
 run of blocks and reads only the bytes of the fields asked for (option `fields`). With the option `pushdown` and Spark's
 spark.sql.python.filterPushdown.enabled, filters on igrid and level skip blocks before anything of them is read. Every
 executor must see the path.
@@ -123,7 +123,7 @@ class FilteringReader(SnapshotReader):
 class Snapshot(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "amrdat"
+        return "meshframe"
 
     def schema(self) -> str:
         table = self.options.get("table", "cells")
@@ -151,7 +151,7 @@ def open_snapshot(spark: SparkSession, path: str, fields: tuple[str, ...] | None
     spark.dataSource.register(Snapshot)
     with open(local(path), "rb") as f:
         h = codec.read_header(f)
-    at = lambda table, **o: spark.read.format("amrdat").options(table=table, **o).load(path)
+    at = lambda table, **o: spark.read.format("meshframe").options(table=table, **o).load(path)
     roots = tuple(a // b for a, b in zip(h.domain_nx, h.block_nx, strict=True))
     blocks = forest.mesh_blocks(spark, at("forest"), roots)
     names = fields or h.w_names

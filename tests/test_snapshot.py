@@ -35,12 +35,12 @@ def test_snapshot_round_trip(spark, refined, tmp_path):
     assert one.cells.columns == ["level", "i", "j", "k", "b2"]
     for push in ("false", "true"):
         spark.conf.set("spark.sql.python.filterPushdown.enabled", push)
-        some = spark.read.format("amrdat").options(table="cells", fields="rho", blocks_a_task="4", pushdown=push).load(path)
+        some = spark.read.format("meshframe").options(table="cells", fields="rho", blocks_a_task="4", pushdown=push).load(path)
         assert some.where("igrid = 3").count() == 64 and some.where("level > 1").count() == 8 * 64
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
-    head = spark.read.format("amrdat").options(table="header").load(path).first()
+    head = spark.read.format("meshframe").options(table="header").load(path).first()
     assert head.w_names == ["rho", "b1", "b2"] and head.domain_nx == [8, 8, 8] and head.time == 2.5
-    tree = spark.read.format("amrdat").options(table="blocks").load(path)
+    tree = spark.read.format("meshframe").options(table="blocks").load(path)
     assert [r.offset for r in tree.orderBy("igrid").collect()] == [h.offsets()[1] + n * codec.block_size(h) for n in range(15)]
 
 
