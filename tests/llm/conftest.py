@@ -1,4 +1,5 @@
 import pytest
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -19,23 +20,6 @@ def docs_of(spark):
     return make
 
 
-ODD = [
-    (1, None),
-    (2, ""),
-    (3, " \t\n "),
-    (4, "one"),
-    (5, "a b"),
-    (6, "a  b"),
-    (7, "a b"),
-    (None, "a b"),
-    (8, "ünï çødé 🎉 " * 40),
-    (9, "word " * 30_000),
-    (10, "x" * 200_000),
-    (11, "word " * 30_000),
-    (11, "word " * 30_000),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(docs_of):
     return docs_of(ODD)

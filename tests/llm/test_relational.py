@@ -5,7 +5,7 @@ import random
 import re
 from collections import defaultdict
 
-from conftest import ODD  # noqa: F401
+from odd_rows import ODD
 
 from meshframe.llm import chat_format, decontaminate, exact_dedup, mixing, pii
 

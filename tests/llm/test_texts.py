@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from conftest import ODD
+from odd_rows import ODD
 
 from meshframe.llm import html_text, language_id, simhash_dedup, substring_dedup, toxicity
 from meshframe.llm.bytewords import Hashes, words_of
