@@ -21,6 +21,8 @@ DOCS_A_SHARD = 1024
 MAX_BLOCK = 1024
 #: Blocks are no larger than this fraction of all tokens.
 LEAST_BLOCKS = 100_000
+#: A list of at most so many sources is broadcast.
+SOURCES_LIMIT = 10_000
 SEED = "mix-1"
 
 
@@ -125,8 +127,9 @@ def mix_sources(
     plan = plan.select(
         F.col("source").alias("__source"), "source_size", "target", "__block", F.col("quota").alias("__blocks"), "__shards"
     )
-    # One row a source: its size is that of the list of sources, which Spark measures before it broadcasts.
-    rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
+    # One row a source; the list is counted before it is broadcast, so a hot source's documents stay where they are.
+    few = targets.count() <= SOURCES_LIMIT
+    rows = sizes.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
         "__shard", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % F.col("__shards")
     )
     shards = rows.groupBy("__source", "__shard", "__block", "__blocks").agg(F.sum("size").alias("__shard_size"))
