@@ -30,6 +30,8 @@ MER = 3
 BUCKETS_A_PARTITION = 8
 #: Text that a map task works on at a time; copies within it are merged before they travel.
 PIECE = 1 << 23
+#: Zstandard's level for what travels.
+LEVEL = 3
 
 SENT = "bucket int, kind int, packed binary"
 MARKED = "doc_id long, first int, last int"
@@ -37,14 +39,15 @@ MARKED = "doc_id long, first int, last int"
 
 def _pack(ids: np.ndarray, at: np.ndarray, second: np.ndarray, text: bytes) -> bytes:
     """ids, word positions and, of a super-k-mer, its number of windows or, of a marked stretch, its end; then words."""
-    head = np.int64(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + at.astype(np.int32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + second.astype(np.int32).tobytes() + text)
+    steps = np.diff(ids.astype(np.int64), prepend=0)  # identifiers mostly grow, so steps pack better
+    head = np.int64(len(ids)).tobytes() + steps.tobytes() + at.astype(np.int32).tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + second.astype(np.int32).tobytes() + text)
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    ids = np.frombuffer(raw, np.int64, n, 8)
+    ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
     at, second = np.frombuffer(raw, np.int32, n, 8 + 8 * n), np.frombuffer(raw, np.int32, n, 8 + 12 * n)
     return ids, at, second, np.frombuffer(raw, np.uint8, -1, 8 + 16 * n)
 
