@@ -222,6 +222,19 @@ def test_toxicity_of_odd_rows(spark, odd, tables):
     assert len(toxicity.toxicity_report(odd, nothing).collect()) == len(ODD)
 
 
+def _sample_of(spark, docs_of, monkeypatch, rows):
+    """The (label, characters) that training gets for (text, label) rows, none of them held out."""
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: [*zip(labels, map(len, texts), strict=True)])
+    ids = [i for i in range(10 * len(rows)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows, strict=False)], "doc_id long, toxic int")
+    return toxicity.learn(docs_of([(i, t) for i, (t, _) in zip(ids, rows, strict=False)]), labels)
+
+
+def test_toxicity_sample_takes_ten_million_characters(spark, docs_of, monkeypatch):
+    got = _sample_of(spark, docs_of, monkeypatch, [("a " * 2_000_000, 1), ("b " * 2_000_000, 1), ("c", 0)])
+    assert sorted(got) == [(0, 1), (1, 4_000_000), (1, 4_000_000)]
+
+
 ARTICLE = "The cat of the house is in the garden and it was on the mat, as it is with most of the cats that are by the door."
 PAGES = [
     (None, ""),
