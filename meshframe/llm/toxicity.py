@@ -154,7 +154,10 @@ def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Learn from labelled rows that are not held out, at most SAMPLE_DOCS rows and SAMPLE_CHARS characters a class."""
+    """Learn from labelled rows that are not held out, at most SAMPLE_DOCS rows and SAMPLE_CHARS characters a class.
+
+    Characters go to the shortest texts first, so a long text that does not fit leaves out no other, wherever its hash is.
+    """
     usable = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [
         sample_ids(usable.where(F.col(label_col) == y), id_col, SAMPLE_DOCS).distinct().withColumn("y", F.lit(y)) for y in (0, 1)
@@ -162,8 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = ids[0].unionByName(ids[1])
     taken = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     taken = taken.join(F.broadcast(ids), F.col("__id") == F.col("__sample_id"))  # 2 * SAMPLE_DOCS rows at most
-    taken = taken.select("__id", "y", "__text", F.length("__text").alias("n"))
-    so_far = Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id", "__text").rowsBetween(Window.unboundedPreceding, 0)
+    taken = taken.select("__id", "y", "__text", F.coalesce(F.length("__text"), F.lit(0)).alias("n"))
+    so_far = Window.partitionBy("y").orderBy("n", F.xxhash64("__id"), "__id", "__text").rowsBetween(Window.unboundedPreceding, 0)
     rows = taken.withColumn("upto", F.sum("n").over(so_far)).where(F.col("upto") <= SAMPLE_CHARS).select("__id", "y", "__text").collect()
     rows.sort(key=lambda r: (r["__id"], r["y"], r["__text"] or ""))
     return train([r["__text"] for r in rows], [r["y"] for r in rows])

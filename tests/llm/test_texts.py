@@ -234,6 +234,12 @@ def test_toxicity_sample_takes_ten_million_characters(spark, docs_of, monkeypatc
     got = _sample_of(spark, docs_of, monkeypatch, [("a " * 2_000_000, 1), ("b " * 2_000_000, 1), ("c", 0)])
     assert sorted(got) == [(0, 1), (1, 4_000_000), (1, 4_000_000)]
 
+def test_toxicity_sample_goes_on_after_a_long_text(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1000)
+    rows = [("x" * 1001 if i % 7 == 0 else "x" * 900 if i % 7 == 1 else "x" * 10, i % 2) for i in range(140)]
+    got = _sample_of(spark, docs_of, monkeypatch, rows)
+    assert sorted(got) == [(0, 10)] * 50 + [(1, 10)] * 50
+
 
 ARTICLE = "The cat of the house is in the garden and it was on the mat, as it is with most of the cats that are by the door."
 PAGES = [
