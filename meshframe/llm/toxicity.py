@@ -24,14 +24,16 @@ from .tokens import TokenTable, held_out, kept_table, stripped
 SAMPLE_DOCS, SAMPLE_CHARS = 2048, 10_000_000
 FEATURES = 1 << 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
-#: Features whose documents of either label differ by less than this chi-square get no weight: among so many features,
-#: chance alone reaches about 25.
-LEAST_CHI2 = 30.0
+#: Features whose likelihood ratio G is less than this get no weight. At any sample size, chance alone reaches G about as
+#: rarely as exp(-G / 2), so among FEATURES it comes to about 25; a sample with fewer features has a bar that is as rare.
+LEAST_G = 30.0
 #: A longer run of words without an end is cut.
 SENTENCE_WORDS = 40
 ENDS = ".!?"
 ROUNDS, RATE, DECAY, BIAS = 120, 0.1, 1e-4, -5.0
 THRESHOLD = 0.7
+#: The bias of a model that could learn nothing: every sentence scores 0.
+UNTRAINED = -np.inf
 
 
 @dataclass(frozen=True)
@@ -91,16 +93,23 @@ class _Sample:
         at = np.repeat(self.edges[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         return self.feature[at], np.repeat(np.arange(len(words)), k)
 
-    def chi2(self, y: np.ndarray) -> np.ndarray:
-        """Of each feature, how far the labels of the documents that have it are from the sample's; a document at a time."""
+    def telling(self, y: np.ndarray) -> np.ndarray:
+        """Whether the labels of the documents that have a feature are further from the sample's than by chance; a document
+        at a time."""
         have, bad = np.zeros(FEATURES), np.zeros(FEATURES)
         for ids, label in zip(self.tokens, y, strict=True):
             found = np.unique(self.features_of(np.unique(ids))[0])
             have[found] += 1
             bad[found] += label
-        n, share = len(y), y.mean()
-        spread = have * (n - have) / n * share * (1 - share)
-        return np.where(spread > 0, (bad - have * share) ** 2 / np.maximum(spread, 1e-12), 0.0)
+        n, n_bad = len(y), y.sum()
+        g = np.zeros(FEATURES)
+        for seen, of, among in (
+            (bad, have, n_bad), (have - bad, have, n - n_bad), (n_bad - bad, n - have, n_bad), (n - n_bad - have + bad, n - have, n - n_bad)
+        ):
+            some = seen > 0
+            g[some] += 2 * seen[some] * np.log(seen[some] * n / (of[some] * among))
+        found = have > 0
+        return found & (g >= LEAST_G - 2 * np.log(FEATURES / max(found.sum(), 1)))
 
 
 def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
@@ -111,9 +120,9 @@ def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     y = np.array(labels, dtype=float)
     weights = np.zeros(FEATURES)
     if not 0 < y.sum() < len(y):
-        return ToxicityModel(weights, BIAS)
+        return ToxicityModel(weights, UNTRAINED)
     sample = _Sample(texts)
-    telling = sample.chi2(y) >= LEAST_CHI2
+    telling = sample.telling(y)
     every = np.arange(len(sample.vocabulary))
     f, of = sample.features_of(every)
     word_ok = np.bincount(of, weights=telling[f], minlength=len(every)) > 0
@@ -125,7 +134,7 @@ def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
         words.append(ids[at]), sentences.append(n + place), docs.append(np.full(len(own), d))
         n += len(own)
     if not n:
-        return ToxicityModel(weights, BIAS)
+        return ToxicityModel(weights, UNTRAINED)
     word, sentence, doc = np.concatenate(words), np.concatenate(sentences), np.concatenate(docs)
     used, word = np.unique(word, return_inverse=True)
     feature, owner = sample.features_of(used)
@@ -187,6 +196,8 @@ def sentence_scores(model: ToxicityModel, table: TokenTable, text: str | None) -
         return heads, np.zeros(0)
     z, _, said = np.add.reduceat(rows, heads, axis=0).T
     heads, z = heads[said > 0], z[said > 0]
+    if model.bias == UNTRAINED:
+        return heads, np.zeros(len(heads))
     return heads, 1 / (1 + np.exp(-np.clip(model.bias + z, -30, 30)))
 
 
@@ -220,8 +231,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", o
 def toxicity_report(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, worst_sentence_word) of every row, from the whole text alone.
 
-    Null and empty texts score 0. Without labels of both classes the model gives every sentence its prior. Rows are
-    judged one by one; no rows give no rows. Other columns are ignored.
+    Null and empty texts score 0. Without labels of both classes, or where no feature is telling, every row scores 0.
+    Rows are judged one by one; no rows give no rows. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = score_texts(own, model)

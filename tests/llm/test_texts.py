@@ -240,6 +240,28 @@ def test_toxicity_sample_goes_on_after_a_long_text(spark, docs_of, monkeypatch):
     got = _sample_of(spark, docs_of, monkeypatch, rows)
     assert sorted(got) == [(0, 10)] * 50 + [(1, 10)] * 50
 
+def _toxic_score(model, text):
+    table = toxicity.TokenTable(lambda t: toxicity.token_row(model, t), 3)
+    return toxicity.noisy_or(toxicity.sentence_scores(model, table, text)[1])
+
+
+def test_toxicity_without_training_drops_nothing(docs_of):
+    docs = docs_of([(1, "Some plain words. " * 5000), (2, "Short one."), (3, None)])
+    for model in (toxicity.train([], []), toxicity.train(["bad"], [1]), toxicity.train(["a b.", "a c."], [0, 1])):
+        assert _toxic_score(model, "Some plain words. " * 5000) == 0.0
+    assert toxicity.drop_toxic(docs, model).count() == 3
+
+
+def test_toxicity_learns_from_few_labels_and_rare_words():
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice("tree river stone cloud house wind road lamp".split()) for _ in range(9)) + "."
+    few = toxicity.train([say() + (" grobnak." if i % 2 else "") for i in range(24)], [i % 2 for i in range(24)])
+    assert _toxic_score(few, say() + " grobnak.") >= toxicity.THRESHOLD > _toxic_score(few, say())
+    # Of 1000 toxic documents 24 have the word, one in the other class is no sign.
+    word = lambda i: "" if i % 2 == 0 else " grobnak." if i < 48 else " vurlek."
+    rare = toxicity.train([say() + word(i) for i in range(2000)], [i % 2 for i in range(2000)])
+    assert all(_toxic_score(rare, say() + w) >= toxicity.THRESHOLD for w in (" grobnak.", " vurlek.")) and _toxic_score(rare, say()) < toxicity.THRESHOLD
+
 
 ARTICLE = "The cat of the house is in the garden and it was on the mat, as it is with most of the cats that are by the door."
 PAGES = [
