@@ -4,7 +4,8 @@ A page becomes blocks of running text, each with its length, the share of its ch
 stop words among its words. The first pass decides blocks by themselves: what stands in a menu, header, footer, sidebar,
 notice, advert, form or comment is out, what stands in the marked article is in, and elsewhere link density, length and
 stop-word density decide. Short blocks stay open. The second pass gives an open block the class of the nearest decided
-blocks before and after it.
+blocks before and after it. Beside a marked article only blocks outside it count as neighbours, and open blocks stay out if
+none of them is in.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "t
 CLOSES_P = BLOCKS - frozenset("head title option optgroup tr td th thead tbody tfoot caption legend summary body html".split())
 
 TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|"
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(>|\Z)",
     re.S,
 )
@@ -195,12 +196,10 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(b: Block, marked: bool) -> bool | None:
-    """In, out, or open (None); marked: the page marks its article."""
-    if b.out:
-        return False
-    if marked:
-        return b.main
+def first_pass(b: Block) -> bool | None:
+    """In, out, or open (None)."""
+    if b.out or b.main:
+        return not b.out
     links, n = b.link_chars / len(b.text), len(b.text)
     if links > LINKS_HIGH:
         return False
@@ -244,8 +243,14 @@ def second_pass(decided: list[bool | None]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The page's main text: decoded blocks joined by an empty line."""
     blocks = read_blocks(page or "")
-    marked = any(b.main and not b.out for b in blocks)
-    kept = second_pass([first_pass(b, marked) for b in blocks])
+    decided = [first_pass(b) for b in blocks]
+    rest = [i for i, b in enumerate(blocks) if b.out or not b.main]
+    if len(rest) < len(blocks) and not any(decided[i] for i in rest):
+        kept = [bool(d) for d in decided]
+    else:
+        kept = [True] * len(blocks)
+        for i, k in zip(rest, second_pass([decided[i] for i in rest]), strict=True):
+            kept[i] = k
     return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 

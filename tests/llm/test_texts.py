@@ -287,6 +287,16 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_a_marked_article_does_not_silence_the_rules_outside_it():
+    page = f"<!DOCTYPE html><nav>Menu</nav><article class=card>Teaser.</article><div><h2>Head</h2><p>{ARTICLE}</p><p>Short.</p><p><a href=a>More of it</a></p></div>"
+    assert html_text.main_text(page) == f"Teaser.\n\nHead\n\n{ARTICLE}\n\nShort."
+    assert html_text.main_text(f"<article>{ARTICLE}</article><p>Short.</p>") == ARTICLE
+
+
+def test_declarations_are_no_text():
+    assert html_text.main_text(f"<?xml version='1.0'?><!DOCTYPE html><p>{ARTICLE}</p><!doctype x") == ARTICLE
+
+
 def test_html_operator(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(0, None, None), (None, "u", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
