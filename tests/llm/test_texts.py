@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -297,6 +298,96 @@ def test_declarations_are_no_text():
     assert html_text.main_text(f"<?xml version='1.0'?><!DOCTYPE html><p>{ARTICLE}</p><!doctype x") == ARTICLE
 
 
+IT = "Il gatto della casa dorme nel giardino, mentre fuori piove forte; nessuno pensa alle vecchie storie raccontate dai nonni."
+ZH = "今天天气很好，我们一起去公园散步，看到了很多美丽的花朵和绿树。孩子们在草地上玩耍，老人们坐在长椅上聊天。"
+CODE = "int main(void) { return 0; } " * 20
+UNUSUAL = [
+    (f"<body><form action=x><nav><a href=a>Home</a></nav><h1>Title</h1><p>{ARTICLE}</p><p>{ARTICLE}</p></form>", f"Title\n\n{ARTICLE}\n\n{ARTICLE}"),
+    (f"<div class='content with-sidebar'><h1>T</h1><p>{ARTICLE}</p></div><div class=sidebar>no</div>", f"T\n\n{ARTICLE}"),
+    (f"<nav><a href=a>Home</a></nav><div><h1>Titolo</h1><p>{IT}</p><p>{IT * 2}</p></div><footer>x</footer>", f"Titolo\n\n{IT}\n\n{IT * 2}"),
+    (f"<nav><a href=a>首页</a></nav><div><h1>标题</h1><p>{ZH}</p><p>{ZH * 2}</p></div><footer>x</footer>", f"标题\n\n{ZH}\n\n{ZH * 2}"),
+    (f"<div><p>{ARTICLE}</p><pre>{CODE}</pre><p>{ARTICLE}</p></div>", f"{ARTICLE}\n\n{CODE.strip()}\n\n{ARTICLE}"),
+    (f"<article><div class=entry-header><h1>Title</h1></div><p>{ARTICLE}</p></article>", f"Title\n\n{ARTICLE}"),
+    (f"<main><h1>x</h1></main><div>{ARTICLE}</div>", f"x\n\n{ARTICLE}"),
+    (f"<div id=popup><p>{ARTICLE}</p></div>", ARTICLE),
+    (f"<h1>t</h1><p>{ARTICLE}</p><div class=comments><h3>3 comments</h3><p>{ARTICLE * 4}</p></div>", f"t\n\n{ARTICLE}"),
+    (f"<p>{ARTICLE}</p><p>© Somebody</p>", ARTICLE),
+]
+
+
+@pytest.mark.parametrize("page, text", UNUSUAL)
+def test_main_text_of_unusual_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_the_rules_alone_find_what_marks_say():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    same = [html_text.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) == html_text.main_text(p) for p in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def plain_verdicts(blocks):
+    """The two passes again, block by block and neighbour by neighbour."""
+    stops = {b.text: [w.strip(".,;:!?()\"'%&$#*|") in html_text.STOP_WORDS for w in b.text.lower().split() if w.strip(".,;:!?()\"'%&$#*|")] for b in blocks}
+    prose = [x for b in blocks if not b.out and not b.code and 3 * b.link_chars <= 0.99 * len(b.text) for x in stops[b.text]]
+    listed = bool(prose) and sum(prose) / len(prose) >= 0.15
+    first = []
+    for b in blocks:
+        n, links = len(b.text), b.link_chars / len(b.text)
+        share = sum(stops[b.text]) / len(stops[b.text]) if stops[b.text] else 0
+        if b.out:
+            first.append(False)
+        elif links > 0.33:
+            first.append(None if b.main and links <= 0.66 else False)
+        elif n < 70:
+            first.append(None)
+        elif share >= 0.30 or (n > 200 and (share >= 0.15 or not listed)):
+            first.append(True)
+        elif n > 200 and listed and not b.main and not b.code and (share < 0.05 or (share < 0.15 and links > 0)):
+            first.append(False)
+        else:
+            first.append(None)
+    marked = any(b.main and not b.out for b in blocks)
+    out = []
+    for i, b in enumerate(blocks):
+        near = [(abs(i - j), first[j]) for j, c in enumerate(blocks) if c.main == b.main and not c.out and first[j] is not None]
+        if b.out or first[i] is not None:
+            kept = bool(first[i])
+        else:
+            part = [j for j, c in enumerate(blocks) if c.main == b.main and not c.out]
+            at = part.index(i)
+            left = [at - k for k, j in enumerate(part) if k < at and first[j] is not None]
+            right = [k - at for k, j in enumerate(part) if k > at and first[j] is not None]
+            l = (min(left), first[part[at - min(left)]]) if left else None
+            r = (min(right), first[part[at + min(right)]]) if right else None
+            kept = True if not near else (l or r)[1] if not (l and r) else l[1] if l[0] < r[0] else r[1] if r[0] < l[0] else l[1] or r[1]
+        if not b.main and marked and not any(first[j] for j, c in enumerate(blocks) if not c.main and not c.out):
+            kept = False
+        out.append(kept)
+    return out
+
+
+def test_two_passes_against_a_plain_version():
+    rng = random.Random(12)
+    words = "the of and to tree river stone cloud house wind road lamp".split()
+    for _ in range(600):
+        blocks = []
+        for _ in range(rng.randint(0, 12)):
+            text = " ".join(rng.choice(words[rng.choice([0, 3, 4]) :]) for _ in range(rng.choice([2, 6, 20, 60])))
+            linked = int(len(text) * rng.choice([0, 0, 0, 0.2, 0.5, 0.9]))
+            blocks.append(html_text.Block(text, linked, rng.random() < 0.2, rng.random() < 0.4, rng.random() < 0.1))
+        assert html_text.kept_blocks(blocks) == plain_verdicts(blocks)
+
+
+@pytest.mark.parametrize("page", ["<a href" + " " * 100_000 + ">x", "<a " + "b" * 100_000 + ">x", "<a " + "b " * 100_000 + ">x", "<p a=" + "'" * 100_001, "<div " + "class= " * 50_000 + ">q"])
+def test_long_tags_take_linear_time(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 2
+
+
 def test_html_operator(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(0, None, None), (None, "u", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
