@@ -4,6 +4,9 @@ Labels belong to documents, but sentences are what is scored: a sentence's logis
 features, and a document is toxic if any sentence is, p = 1 - prod(1 - p_s) (noisy-or). The weights are learned through
 that formula from document labels, on a bounded sample of labelled rows; the sentences with the highest scores then say
 where a document offends.
+
+Scoring counts only what a sentence's words add to the bias, and only if they speak clearly: every other sentence has
+probability 0, so a text is no more toxic for being long.
 """
 
 import uuid
@@ -32,6 +35,8 @@ SENTENCE_WORDS = 40
 ENDS = ".!?"
 ROUNDS, RATE, DECAY, BIAS = 120, 0.1, 1e-4, -5.0
 THRESHOLD = 0.7
+#: Sentences whose words add less than this to the log odds score 0.
+LEAST_EVIDENCE = 2.0
 #: The bias of a model that could learn nothing: every sentence scores 0.
 UNTRAINED = -np.inf
 
@@ -112,6 +117,40 @@ class _Sample:
         return found & (g >= LEAST_G - 2 * np.log(FEATURES / max(found.sum(), 1)))
 
 
+@dataclass
+class _Bags:
+    """What training sums over. word: token numbers of all kept sentences, which sentence numbers them and doc the
+    sentences; plain counts a document's other sentences. feature and owner give the telling features of each token."""
+
+    y: np.ndarray
+    plain: np.ndarray
+    word: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+    feature: np.ndarray
+    owner: np.ndarray
+
+    def __post_init__(self) -> None:
+        bad = self.y.sum()
+        self.share = np.where(self.y > 0, 0.5 / bad, 0.5 / (len(self.y) - bad))
+        self.n_words = int(self.word.max()) + 1
+
+    def gradient(self, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """The classes' mean negative log likelihood, and its gradient for the weights and the bias."""
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        score = np.bincount(self.owner, weights=weights[self.feature], minlength=self.n_words)
+        p = sigmoid(bias + np.bincount(self.sentence, weights=score[self.word], minlength=len(self.doc)))
+        p0 = sigmoid(bias)
+        none = np.bincount(self.doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(self.y)) + self.plain * np.log1p(-p0)
+        whole = np.clip(1 - np.exp(none), 1e-9, 1.0)
+        pull = np.where(self.y > 0, -(1 - whole) / whole, 1.0) * self.share
+        gz = pull[self.doc] * p
+        by_word = np.bincount(self.word, weights=gz[self.sentence], minlength=self.n_words)
+        g = np.bincount(self.feature, weights=by_word[self.owner], minlength=len(weights))
+        loss = -(self.share * np.where(self.y > 0, np.log(whole), none)).sum()
+        return float(loss), g, float(gz.sum() + (pull * self.plain).sum() * p0)
+
+
 def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     """Full-batch Adam on the noisy-or likelihood; the same rows in the same order give the same model.
 
@@ -140,20 +179,11 @@ def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     feature, owner = sample.features_of(used)
     feature, owner = feature[telling[feature]], owner[telling[feature]]
 
-    rate = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    bags = _Bags(y, plain, word, sentence, doc, feature, owner)
     m, v, bias, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), BIAS, 0.0, 0.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, ROUNDS + 1):
-        score = np.bincount(owner, weights=weights[feature], minlength=len(used))
-        p = sigmoid(bias + np.bincount(sentence, weights=score[word], minlength=n))
-        p0 = sigmoid(bias)
-        none = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-p0)
-        whole = np.clip(1 - np.exp(none), 1e-9, 1.0)
-        pull = np.where(y > 0, -(1 - whole) / whole, 1.0) * rate
-        gz = pull[doc] * p
-        by_word = np.bincount(word, weights=gz[sentence], minlength=len(used))
-        g = np.bincount(feature, weights=by_word[owner], minlength=FEATURES) + DECAY * weights
-        gb = gz.sum() + (pull * plain).sum() * p0
+        _, g, gb = bags.gradient(weights, bias)
+        g += DECAY * weights
         m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
         v, vb = 0.999 * v + 0.001 * g * g, 0.999 * vb + 0.001 * gb * gb
         step = RATE / (1 - 0.9**k)
@@ -165,18 +195,21 @@ def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from labelled rows that are not held out, at most SAMPLE_DOCS rows and SAMPLE_CHARS characters a class.
 
-    Characters go to the shortest texts first, so a long text that does not fit leaves out no other, wherever its hash is.
+    Characters go to the shortest documents first, so a long text that does not fit leaves out no other, wherever its
+    hash is. Lengths are compared before any text travels.
     """
     usable = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [
         sample_ids(usable.where(F.col(label_col) == y), id_col, SAMPLE_DOCS).distinct().withColumn("y", F.lit(y)) for y in (0, 1)
     ]
     ids = ids[0].unionByName(ids[1])
-    taken = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    taken = taken.join(F.broadcast(ids), F.col("__id") == F.col("__sample_id"))  # 2 * SAMPLE_DOCS rows at most
-    taken = taken.select("__id", "y", "__text", F.coalesce(F.length("__text"), F.lit(0)).alias("n"))
-    so_far = Window.partitionBy("y").orderBy("n", F.xxhash64("__id"), "__id", "__text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = taken.withColumn("upto", F.sum("n").over(so_far)).where(F.col("upto") <= SAMPLE_CHARS).select("__id", "y", "__text").collect()
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    sized = own.select("__id", F.coalesce(F.length("__text"), F.lit(0)).cast("long").alias("n"))
+    sized = sized.join(F.broadcast(ids), F.col("__id") == F.col("__sample_id")).groupBy("__id", "y").agg(F.sum("n").alias("n"))
+    so_far = Window.partitionBy("y").orderBy("n", F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    fit = sized.withColumn("upto", F.sum("n").over(so_far)).where(F.col("upto") <= SAMPLE_CHARS)
+    fit = fit.select(F.col("__id").alias("__fit_id"), "y")  # 2 * SAMPLE_DOCS rows at most
+    rows = own.join(F.broadcast(fit), F.col("__id") == F.col("__fit_id")).select("__id", "y", "__text").collect()
     rows.sort(key=lambda r: (r["__id"], r["y"], r["__text"] or ""))
     return train([r["__text"] for r in rows], [r["y"] for r in rows])
 
@@ -189,16 +222,20 @@ def token_row(model: ToxicityModel, token: str) -> tuple[float, float, float]:
 
 
 def sentence_scores(model: ToxicityModel, table: TokenTable, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """First token and probability of each sentence that says anything."""
+    """First token and probability of each sentence that says anything; what the bias alone gives counts as 0."""
     rows = table.values(_lines(text))
     heads = sentence_heads(rows[:, 1] > 0)
     if not len(heads):
         return heads, np.zeros(0)
     z, _, said = np.add.reduceat(rows, heads, axis=0).T
     heads, z = heads[said > 0], z[said > 0]
-    if model.bias == UNTRAINED:
-        return heads, np.zeros(len(heads))
-    return heads, 1 / (1 + np.exp(-np.clip(model.bias + z, -30, 30)))
+    p, loud = np.zeros(len(z)), z >= LEAST_EVIDENCE
+    if model.bias == UNTRAINED or not loud.any():
+        return heads, p
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    alone = sigmoid(model.bias)
+    p[loud] = (sigmoid(model.bias + z[loud]) - alone) / (1 - alone)
+    return heads, p
 
 
 def noisy_or(p: np.ndarray) -> float:

@@ -253,6 +253,47 @@ def test_toxicity_without_training_drops_nothing(docs_of):
     assert toxicity.drop_toxic(docs, model).count() == 3
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    assert model.bias > toxicity.UNTRAINED
+    for said in ("Some plain words. ", "The cat sat on the mat. ", "tree river stone cloud. "):
+        assert _toxic_score(model, said * 10_000) < 0.1
+
+
+def test_noisy_or_and_its_gradient_against_plain_loops():
+    rng = np.random.default_rng(5)
+    assert toxicity.noisy_or(np.array([0.5, 0.25])) == pytest.approx(1 - 0.5 * 0.75) and toxicity.noisy_or(np.zeros(0)) == 0
+    word, sentence, doc = np.array([0, 1, 2, 0, 2, 1]), np.array([0, 0, 1, 2, 2, 3]), np.array([0, 0, 1, 2])
+    feature, owner = np.array([0, 1, 1, 2]), np.array([0, 0, 1, 2])
+    y, plain = np.array([1.0, 0.0, 1.0, 0.0]), np.array([2.0, 1.0, 0.0, 3.0])
+    bags = toxicity._Bags(y, plain, word, sentence, doc, feature, owner)
+    weights, bias = rng.normal(size=3), -1.5
+
+    def loss(w, b):
+        total = 0.0
+        for d in range(4):
+            clean = (1 - 1 / (1 + np.exp(-b))) ** plain[d]
+            for s in np.flatnonzero(doc == d):
+                z = b + sum(w[feature[k]] for x in word[sentence == s] for k in np.flatnonzero(owner == x))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+            total -= 0.5 * np.log(1 - clean if y[d] else clean) / 2
+        return total
+
+    got, g, gb = bags.gradient(weights, bias)
+    assert got == pytest.approx(loss(weights, bias))
+    step = 1e-6
+    assert gb == pytest.approx((loss(weights, bias + step) - loss(weights, bias - step)) / (2 * step), abs=1e-6)
+    for k in range(3):
+        e = np.eye(3)[k] * step
+        assert g[k] == pytest.approx((loss(weights + e, bias) - loss(weights - e, bias)) / (2 * step), abs=1e-6)
+
+
+def test_toxicity_of_no_rows(tables, docs_of):
+    model = toxicity.learn(tables[0].where("false"), tables[1])
+    assert toxicity.toxicity_report(docs_of([(1, "x")]).where("false"), model).count() == 0
+
+
 def test_toxicity_learns_from_few_labels_and_rare_words():
     rng = random.Random(3)
     say = lambda: " ".join(rng.choice("tree river stone cloud house wind road lamp".split()) for _ in range(9)) + "."
