@@ -1,9 +1,11 @@
 """Personal data in whole texts, in DataFrame code only.
 
 Regular expressions propose spans, checks confirm them (Luhn for cards, mod-97 for account numbers, ranges for
-addresses, digit counts for phones) and words close by raise the score. Offsets follow from the pieces between matches:
-split() gives the gaps and regexp_extract_all() the matches of one pattern, so the lengths before a match add up to its
-start. Each row is worked on by itself; nothing is shuffled.
+addresses, digit counts for phones, mixed characters for secrets) and words close by raise the score. Base kinds count
+whatever their score; of the others those count that reach LEAST_SCORE, which a secret does only where words close by
+say so. Offsets follow from the pieces between matches: split() gives the gaps and regexp_extract_all() the matches of
+one pattern, so the lengths before a match add up to its start; they are added up in chunks, so that a text full of
+matches takes time in proportion. Each row is worked on by itself; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-#: Characters before and after a match that are searched for context words.
+#: Characters before and after a match that are searched for context words, up to the next match of its kind.
 NEAR = 40
+#: What a span that is not of a base kind must score.
+LEAST_SCORE = 0.5
+#: Matches whose lengths are added up together.
+CHUNK = 256
+#: Different characters among the first 256 of a secret.
+DISTINCT = 10
 
 
 @dataclass(frozen=True)
@@ -28,6 +36,7 @@ class Kind:
     prior: float
     context: str
     base: bool = True
+    bonus: float = 0.1
 
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -38,7 +47,7 @@ KINDS = (
         0.8,
         r"e-?mail|mail|contact|write|correo|courriel|kontakt",
     ),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, r"\bip\b|host|server|address|adresse|dirección"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, r"(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)|host|server|address|adresse|direcci[oó]n"),
     Kind(
         "card",
         r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
@@ -53,8 +62,17 @@ KINDS = (
         r"iban|account|bank|konto|compte|cuenta",
         base=False,
     ),
+    Kind(
+        "secret",
+        r"[A-Za-z0-9_+/-]{24,}+",
+        0.4,
+        r"token|secret|passw|pwd|credential|private|bearer|auth|(?:api|access)[ _-]?key",
+        base=False,
+        bonus=0.3,
+    ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def digits(x: Column) -> Column:
@@ -86,46 +104,69 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits(match)).between(8, 15)
     if kind == "iban":
         return mod97(match)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.left(match, F.lit(256)), ""))) >= DISTINCT)
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: Kind) -> Column:
+def starts_of(found: Column, gaps: Column) -> Column:
+    """The start of each match: lengths of gaps and matches, added up in chunks of CHUNK matches."""
+    size = F.size(found)
+    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("own")))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, CHUNK))
+    ints = F.array().cast("array<int>")
+
+    def within(chunk: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), ints.alias("starts"))
+        step = lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")
+        )
+        return F.aggregate(chunk, zero, step)
+
+    done = F.transform(chunks, within)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    step = lambda acc, c: F.struct(
+        (acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(c["starts"], lambda x: x + acc["at"]))).alias("out")
+    )
+    return F.when(size > 0, F.flatten(F.aggregate(done, zero, step, lambda acc: acc["out"]))).otherwise(ints)
+
+
+def spans_of(kind: Kind, found: Column, gaps: Column, starts: Column) -> Column:
     """Confirmed spans of one kind: array of (kind, start, end, score), in code points, end exclusive."""
-    found, gaps = F.regexp_extract_all(text, F.lit(kind.proposal), F.lit(0)), F.split(text, kind.proposal, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,near:string>>")
-
-    def step(acc: Column, i: Column) -> Column:
-        match, gap, after = F.get(acc["found"], i), F.get(acc["gaps"], i), F.get(acc["gaps"], i + 1)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(match)
-        near = F.concat(F.right(gap, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR)))
-        new = F.struct(start.alias("start"), end.alias("end"), match.alias("text"), near.alias("near"))
+
+    def placed(match: Column, i: Column) -> Column:
+        near = F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR)))
+        start = F.get(starts, i)
+        told = F.translate(near, UPPER, LOWER).rlike(kind.context)
         return F.struct(
-            acc["found"].alias("found"), acc["gaps"].alias("gaps"), end.alias("at"), F.concat(acc["out"], F.array(new)).alias("out")
+            F.lit(kind.name).alias("kind"),
+            start.alias("start"),
+            (start + F.length(match)).alias("end"),
+            F.round(F.lit(kind.prior) + F.when(told, F.lit(kind.bonus)).otherwise(F.lit(0.0)), 2).alias("score"),
+            confirmed(kind.name, match).alias("ok"),
         )
 
-    zero = F.struct(found.alias("found"), gaps.alias("gaps"), F.lit(0).alias("at"), empty.alias("out"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(kind.proposal)) - 1), zero, step, lambda acc: acc["out"])
-    good = F.filter(placed, lambda s: confirmed(kind.name, s["text"]))
-    score = lambda s: F.lit(kind.prior) + F.when(F.lower(s["near"]).rlike(kind.context), F.lit(0.1)).otherwise(F.lit(0.0))
-    result = F.transform(
-        good, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score"))
-    )
-    return F.when(text.rlike(kind.proposal), result).otherwise(
-        F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    )
+    good = F.filter(F.transform(found, placed), lambda s: s["ok"])
+    return F.transform(good, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "score")]))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """(doc_id, text, and an array of spans for each kind): every confirmed span scoring at least least_score.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
+    """(doc_id, text, and an array of spans for each kind): every confirmed span of a base kind, and those of the other
+    kinds that score at least least_score.
 
     Base kinds match leftmost and without overlap within their kind; a match that fails its check is dropped and not
-    retried. Null and empty texts have no spans; rows are judged one by one, so repeated rows repeat their result.
-    Other columns are ignored.
+    retried. Null and empty texts have no spans; rows are judged one by one, so repeated rows repeat their result, and
+    no rows give no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    # Step by step, so that no lambda evaluates a pattern again.
+    rows = rows.select("*", *[F.regexp_extract_all("text", F.lit(k.proposal), F.lit(0)).alias(f"__m_{k.name}") for k in KINDS])
+    gaps = lambda k: F.when(F.size(f"__m_{k.name}") > 0, F.split("text", k.proposal, -1)).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("*", *[gaps(k).alias(f"__g_{k.name}") for k in KINDS])
+    rows = rows.select("*", *[starts_of(F.col(f"__m_{k.name}"), F.col(f"__g_{k.name}")).alias(f"__s_{k.name}") for k in KINDS])
+    every = [(k, spans_of(k, *[F.col(f"__{c}_{k.name}") for c in "mgs"])) for k in KINDS]
     return rows.select(
-        "doc_id", "text", *[F.filter(spans_of(F.col("text"), k), lambda s: s["score"] >= least_score).alias(k.name) for k in KINDS]
+        "doc_id", "text", *[(x if k.base else F.filter(x, lambda s: s["score"] >= least_score)).alias(k.name) for k, x in every]
     )
 
 
@@ -146,7 +187,7 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.0) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, redacted_text): spans replaced by <KIND>; of overlapping spans the one that starts first (longest) wins."""
     found = find_pii(docs, id_col, text_col, least_score)
     order = F.array_sort(
@@ -172,6 +213,7 @@ _RE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?\b",
+    "secret": r"[A-Za-z0-9_+/-]{24,1000}[A-Za-z0-9_+/-]*",
 }
 _D = "regexp_replace(x, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_D}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_D}), i, 1)::INT ELSE 2 * substr(reverse({_D}), i, 1)::INT - CASE WHEN substr(reverse({_D}), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
@@ -179,28 +221,42 @@ _97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(x,
 _OK = {
     "email": "true",
     "ip": r"len(list_filter(string_split(x, '.'), lambda p: ltrim(p, '0') <> '' AND (length(ltrim(p, '0')) > 3 OR ltrim(p, '0')::INT > 255))) = 0",
-    "card": f"length({_D}) BETWEEN 16 AND 19 AND {_LUHN}",
+    "card": _LUHN,
     "phone": f"length({_D}) BETWEEN 8 AND 15",
     "iban": _97,
+    "secret": f"regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND len(list_distinct(string_split(x[1:256], ''))) >= {DISTINCT} AND score >= {LEAST_SCORE}",
 }
+#: What the base pattern finds but the proposal does not.
+_PROPOSED = {"card": f"length({_D}) BETWEEN 16 AND 19"}
 
 
-def _kind_sql(k: str) -> str:
+def _kind_sql(k: Kind) -> str:
+    n = k.name
     return f"""
-{k}_m AS (
-  SELECT doc_id, regexp_extract_all(t, '{_RE[k]}') AS m, regexp_split_to_array(t, '{_RE[k]}') AS g FROM d
-), {k}_p AS (
-  SELECT doc_id, m[i] AS x, (list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS s
-  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM {k}_m)
-), {k} AS (
-  SELECT doc_id, count(*) AS n, string_agg('{k}:' || s || ':' || (s + length(x)), ',' ORDER BY s) AS l FROM {k}_p WHERE {_OK[k]} GROUP BY doc_id
+{n}_m AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{_RE[n]}') AS m, regexp_split_to_array(t, '{_RE[n]}') AS g FROM d
+), {n}_p AS (
+  SELECT doc_id, t, m[i] AS x, (list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS s
+  FROM (SELECT doc_id, t, m, g, unnest(range(1, len(m) + 1)) AS i FROM {n}_m)
+), {n}_q AS (
+  SELECT *, coalesce(lag(s + length(x)) OVER w, 0) AS low, coalesce(lead(s) OVER w, length(t)) AS high
+  FROM {n}_p WHERE {_PROPOSED.get(n, "true")} WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+), {n}_r AS (
+  SELECT *, translate(substr(t, greatest(low, s - {NEAR}) + 1, s - greatest(low, s - {NEAR})) || ' ' || substr(t, s + length(x) + 1, least(high - s - length(x), {NEAR})), '{UPPER}', '{LOWER}') AS near
+  FROM {n}_q
+), {n}_s AS (
+  SELECT *, round({k.prior}::DOUBLE + CASE WHEN regexp_matches(near, '{k.context}') THEN {k.bonus}::DOUBLE ELSE 0 END, 2) AS score FROM {n}_r
+), {n} AS (
+  SELECT doc_id, count(*) AS n, max(score) AS top, string_agg('{n}:' || s || ':' || (s + length(x)), ',' ORDER BY s) AS l FROM {n}_s WHERE {_OK[n]} GROUP BY doc_id
 )"""
 
 
+_ALL = tuple(k.name for k in KINDS)
 OP1_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(_kind_sql(k) for k in _RE)}
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(_kind_sql(k) for k in KINDS)}
 SELECT d.doc_id, {", ".join(f"coalesce({k}.n, 0)::BIGINT AS n_{k}" for k in BASE)},
        sha256(concat_ws(',', {", ".join(f"{k}.l" for k in BASE)})) AS base_sha256,
-       concat_ws(',', {", ".join(f"{k}.l" for k in _RE)}) AS spans
-FROM d {" ".join(f"LEFT JOIN {k} ON d.doc_id = {k}.doc_id" for k in _RE)}
+       concat_ws(',', {", ".join(f"{k}.l" for k in _ALL)}) AS spans,
+       greatest({", ".join(f"{k}.top" for k in _ALL)}) AS max_score
+FROM d {" ".join(f"LEFT JOIN {k} ON d.doc_id = {k}.doc_id" for k in _ALL)}
 """

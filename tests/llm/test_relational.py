@@ -54,6 +54,42 @@ def test_pii_account_numbers_context_and_redaction(docs_of):
     assert red[1] == "my bank account <IBAN> ok" and red[3] == "mail: <EMAIL>, <IP>"
 
 
+def test_pii_secrets_need_words_close_by(docs_of):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{key}"'), (2, f"commit {key} of"), (3, "my token " + "a" * 40), (4, f"{key} " * 3 + "API key"), (5, f"host 1.2.3.4 {'x' * 50} token")]
+    got = {r.doc_id: r for r in pii.pii_report(docs_of(rows)).collect()}
+    assert (got[1].spans, got[1].max_score) == ("secret:9:49", 0.7) and got[2].spans == got[3].spans == ""
+    assert got[4].spans == "secret:82:122" and (got[5].spans, got[5].max_score) == ("ip:5:12", 0.6)
+    assert {r.doc_id: r.redacted_text for r in pii.redact(docs_of(rows)).collect()}[1] == 'token = "<SECRET>"'
+
+
+def test_pii_takes_time_in_proportion_to_hits(docs_of):
+    text = "ab@cd.ef " * 64_000
+    r = pii.pii_report(docs_of([(1, text)])).collect()[0]
+    assert r.n_email == 64_000 and r.base_sha256 == sha(",".join(f"email:{a}:{b}" for a, b in base_spans(text)["email"]))
+
+
+def test_pii_of_odd_rows(docs_of, odd):
+    got = pii.pii_report(odd).collect()
+    assert len(got) == len(ODD) and all(r.spans == "" and r.max_score is None for r in got)
+    assert pii.pii_report(odd.where("false")).count() == 0
+    twice = pii.pii_report(docs_of([(1, "a@b.com"), (1, "a@b.com"), (None, "a@b.com")])).collect()
+    assert [r.n_email for r in twice] == [1, 1, 1]
+
+
+def test_pii_sql_says_the_same(spark, docs_of):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(["mail a@b.com, a@c.de", None, "card 4111111111111111 4111 1111 1111 1111 and 12 call +1 (555) 010-2030", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "iban DE89 3704 0044 0532 0130 00", "ip 1.2.3.4.5.6.7.8"])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(pii.OP1_SQL)
+    names = [x[0] for x in want.description]
+    got = pii.pii_report(docs_of(rows)).select(*names).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == sorted(want.fetchall())
+
+
 def test_chats_read_back(spark):
     told = "\\### Assistant: </turn> ok"
     rows = [
