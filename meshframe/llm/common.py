@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset (tests), a temporary folder."""
+    """The folder that all executors share: spark.checkpoint.dir. On one machine a temporary folder stands in where it is
+    unset; on a cluster that is an error, as executors could not read each other's files."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshframe-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -31,6 +34,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that operators wrote for their own use and whose results may still read them.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> str:
     """Write a Parquet table into the shared folder, for results as wide as texts; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +51,19 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number __row for each row, written out so that a row keeps its number whoever reads it again."""
+    path = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    _made.append(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def forget_rows(spark: SparkSession) -> None:
+    """Delete what numbered() wrote, once the results are written."""
+    while _made:
+        removed(spark, _made.pop())
+
+
 def whole(text: str | Column) -> Column:
     """The text as a string, null as empty."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))

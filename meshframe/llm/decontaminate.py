@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, whole
+from .common import checkpointed, numbered, whole
 
 WINDOW = 10
 #: Hashes that go with the plan, about 20 bytes each; more are joined.
@@ -160,11 +160,12 @@ def decontaminate(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any hit, with the columns of docs."""
-    _, hits = find_hits(docs, benchmark)
-    bad = hits.select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs without any hit, with the columns of docs; each row is judged by its own text."""
+    rows = numbered(docs)
+    _, hits = find_hits(rows.select("__row", F.col(f"`{text_col}`").alias("text")), benchmark, "__row")
+    bad = hits.select(F.col("doc_id").alias("__bad")).distinct()
+    return rows.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
 
 
 OP5_SQL = rf"""

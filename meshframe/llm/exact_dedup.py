@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, whole
+from .common import SPACES, checkpointed, numbered, whole
 
 RUNS, FAN = 64, 8
 
@@ -83,9 +83,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """The rows of docs that stay, with the columns of docs: one row of each text, the one with the smallest identifier
+    (null last; of rows that repeat an identifier and a text one stays)."""
+    rows = numbered(docs)
+    key = F.struct(F.isnull(F.col(f"`{id_col}`")).alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"))
+    own = rows.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    kept = exact_dedup(own, "key", "text").where("kept").select(F.col("doc_id.row").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 OP8_SQL = r"""

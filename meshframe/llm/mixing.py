@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, word_count
+from .common import checkpointed, numbered, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -94,25 +94,32 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def seeded(id_col: str | Column, seed: str) -> Column:
     """The seeded order: an MD5 of seed and identifier."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(c.cast("string"), F.lit("null"))))
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = SEED,
+    order_by: Column | None = None,
 ) -> DataFrame:
     """What the mix takes of every document: (doc_id, size, source_size, target, taken), and its source.
 
     size counts the words of the whole text (null: 0); taken counts words with repeats and never exceeds MAX_EPOCHS
     times size. A null source is a source of its own, the last one. Rows with equal identifiers are separate rows that
     stand next to each other in the order. Without any words all targets and takings are 0. No rows give no rows. The
-    result depends on the rows and the seed alone, not on partitions. Other columns are ignored.
+    result depends on the rows and the seed alone, not on partitions. The seeded order is that of order_by, else of the
+    identifier. Other columns are ignored.
     """
     sizes = checkpointed(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text_col).alias("size"),
-            seeded(id_col, seed).alias("__order"),
+            seeded(id_col if order_by is None else order_by, seed).alias("__order"),
         )
     )
     targets = checkpointed(source_targets(sizes))
@@ -153,17 +160,23 @@ def mix_sources(
     )
 
 
-def take_mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with their columns and size, source_size, target and taken.
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows that the mix takes, with their columns and size, source_size, target and taken, each row by itself.
 
-    Columns of docs by these four names are replaced. Rows that repeat an identifier stay if any of them is taken, with
-    the largest taking.
+    Columns of docs by these four names are replaced. Rows that repeat an identifier stand next to each other in the
+    seeded order, in the order of their rows.
     """
-    own = ["size", "source_size", "target", "taken"]
-    took = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__taken_id"))
-    took = took.agg(F.max(F.struct("taken", *own[:3])).alias("__mix"))
-    return docs.join(took, docs["doc_id"].eqNullSafe(took["__taken_id"])).select(
-        *[docs[f"`{c}`"] for c in docs.columns if c not in own], *[F.col(f"__mix.{c}").alias(c) for c in own]
+    made = ["size", "source_size", "target", "taken"]
+    rows = numbered(docs)
+    own = rows.select(
+        F.struct(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row")).alias("key"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.col(f"`{source_col}`").alias("source"),
+    )
+    took = mix_sources(own, "key", order_by=F.col("key.id")).where("taken > 0")
+    took = took.select(F.col("doc_id.row").alias("__taken_row"), F.struct(*made).alias("__mix"))
+    return rows.join(took, F.col("__row") == F.col("__taken_row")).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in made], *[F.col(f"__mix.{c}").alias(c) for c in made]
     )
 
 
