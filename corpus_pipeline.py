@@ -1,8 +1,11 @@
 """A corpus pipeline: what each stage keeps is written out and is the next stage's input.
 
 toxicity: documents that score THRESHOLD or more go. exact: of equal texts the smallest doc_id stays. near: of each group
-linked by SimHash the smallest doc_id stays. benchmark: documents with a window of a benchmark item go. mix: documents
-that the mix takes, with size, source_size, target and taken.
+of texts whose sets of five-word shingles are similar by 0.8 or more, as their SimHash fingerprints tell, the smallest
+doc_id stays. benchmark: documents with a window of a benchmark item go. mix: documents that the mix takes, with size,
+source_size, target and taken.
+
+Stages judge rows, not identifiers: repeated and null identifiers are rows like others, null being the largest.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshframe.llm import decontaminate, exact_dedup, mixing, simhash_dedup, toxicity
-from meshframe.llm.common import removed, table, written
+from meshframe.llm.common import forget_rows, removed, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget_rows(spark)
         if before:
             removed(spark, before)
         docs, before = spark.read.parquet(path), path
