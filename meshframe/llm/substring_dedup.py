@@ -4,7 +4,8 @@ A window is WINDOW consecutive words of one document. Its minimiser is the least
 consecutive windows that share it form a super-k-mer, which travels as one packed string to the bucket of the minimiser.
 Equal windows have equal minimisers, so they meet in one bucket. There, windows are sorted by hash and then by location,
 neighbours are compared word for word, and every window that is not the first of its kind is marked. Marked stretches
-go back to their documents.
+go back to their documents. A bucket with more than WINDOWS_AT_A_TIME windows, as a very frequent minimiser makes, is
+counted in several passes, each over the windows whose hash falls to it; packed strings are opened one at a time.
 
 Before anything travels, a piece of a partition keeps one of the super-k-mers whose words are the same and marks the others, so that a
 passage or a text that fills a third of all rows sends one copy a piece. Super-k-mers of one bucket and piece are packed
@@ -30,10 +31,12 @@ MER = 3
 BUCKETS_A_PARTITION = 8
 #: Text that a map task works on at a time; copies within it are merged before they travel.
 PIECE = 1 << 23
+#: Windows that a reduce task sorts at a time, some 40 bytes each.
+WINDOWS_AT_A_TIME = 1 << 23
 #: Zstandard's level for what travels.
 LEVEL = 3
 
-SENT = "bucket int, kind int, packed binary"
+SENT = "bucket int, kind int, windows long, packed binary"
 MARKED = "doc_id long, first int, last int"
 
 
@@ -112,7 +115,7 @@ def _cut(window: int, buckets: int):
                     lead = x
                 elif texts[of[x]][start[x] : end[x]] == texts[of[lead]][start[lead] : end[lead]]:
                     marked[x] = True
-            out = {"bucket": [], "kind": [], "packed": []}
+            out = {"bucket": [], "kind": [], "windows": [], "packed": []}
             if marked.any():
                 x = np.flatnonzero(marked)
                 # A repeated row of one document marks nothing: its first copy stands at the same place.
@@ -120,6 +123,7 @@ def _cut(window: int, buckets: int):
                 x = x[(doc[x] != doc[lead_of[x]]) | (at[x] != at[lead_of[x]])]
                 out["bucket"].append((turn := turn + 1) % buckets)
                 out["kind"].append(1)
+                out["windows"].append(0)
                 out["packed"].append(_pack(doc[x], at[x], at[x] + n[x] + window - 1, b""))
             x = np.flatnonzero(~marked)
             bucket = (least[x] % np.uint64(buckets)).astype(np.int64)
@@ -133,10 +137,11 @@ def _cut(window: int, buckets: int):
                 )
                 out["bucket"].append(int(bucket[a]))
                 out["kind"].append(0)
+                out["windows"].append(int(n[y].sum()))
                 out["packed"].append(_pack(doc[y], at[y], n[y], text))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["bucket"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["packed"], pa.binary())],
-                names=["bucket", "kind", "packed"],
+                [pa.array(out[c], t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                names=[*out],
             )
 
     return run
@@ -161,60 +166,84 @@ def _stretches(doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray
     return doc[first], at[first], at[last] + window
 
 
-def _count(window: int):
+def _windows(packed: bytes, window: int) -> tuple[np.ndarray, ...]:
+    """Document, first word, first byte and end of each window of a packed string, and its text."""
+    ids, at, n, text = _unpack(packed)
+    stops = np.flatnonzero(text == 0x20)
+    begins = np.append(0, stops[:-1] + 1)
+    n_words = n + window - 1
+    base = np.cumsum(n_words) - n_words
+    of = np.repeat(np.arange(len(ids)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    w = base[of] + step
+    return ids[of], at[of] + step, begins[w], stops[w + window - 1], text
+
+
+def _repeated(blobs: list[bytes], window: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first word of each window that is not the first of its kind, of windows whose hash falls to the part."""
+    hashes, sizes = [], []
+    for x in blobs:
+        _, _, start, end, text = _windows(x, window)
+        h = Hashes(text).of(start, end)
+        sizes.append(len(h))
+        hashes.append(h if parts == 1 else h[h % np.uint64(parts) == part])
+    h = np.concatenate(hashes)
+    seen, n = np.unique(h, return_counts=True)
+    twice = seen[n > 1]
+    del h, seen, n
+    found, texts = [], []
+    for k, x in enumerate(blobs):  # only what may be repeated is looked at word for word
+        if not np.isin(hashes[k], twice, assume_unique=False).any():
+            continue
+        doc, at, start, end, text = _windows(x, window)
+        h = Hashes(text).of(start, end)
+        i = np.flatnonzero(np.isin(h, twice))
+        if parts > 1:
+            i = i[h[i] % np.uint64(parts) == part]
+        raw = text.tobytes()
+        found.append((h[i], doc[i], at[i]))
+        texts += [raw[a:b] for a, b in zip(start[i].tolist(), end[i].tolist(), strict=True)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((at, doc, h))
+    marked = np.zeros(len(h), dtype=bool)
+    kinds: dict[bytes, tuple[int, int]] = {}
+    last = None
+    for i in order.tolist():
+        if h[i] != last:
+            kinds, last = {}, h[i]
+        place = (int(doc[i]), int(at[i]))
+        marked[i] = kinds.setdefault(texts[i], place) != place
+    return doc[marked], at[marked]
+
+
+def _count(window: int, limit: int | None = None):
     def run(group: pa.Table) -> pa.Table:
-        hashes, docs, ats, pieces, starts, ends, texts = [], [], [], [], [], [], []
-        out: list[tuple[np.ndarray, ...]] = []
-        for kind, packed in zip(group["kind"].to_pylist(), group["packed"], strict=True):
-            ids, at, second, text = _unpack(packed.as_py())
-            if kind:
-                out.append((ids, at, second))
-                continue
-            stops = np.flatnonzero(text == 0x20)
-            begins = np.append(0, stops[:-1] + 1)
-            n_words = second + window - 1
-            base = np.cumsum(n_words) - n_words
-            of = np.repeat(np.arange(len(ids)), second)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(second) - second, second)
-            w = base[of] + step
-            starts.append(begins[w]), ends.append(stops[w + window - 1])
-            hashes.append(Hashes(text).of(starts[-1], ends[-1]))
-            docs.append(ids[of]), ats.append(at[of] + step), pieces.append(np.full(len(of), len(texts), np.int32))
-            texts.append(text.tobytes())
-        if hashes:
-            h = np.concatenate(hashes)
-            order = np.argsort(h)
-            twice = np.zeros(len(h), dtype=bool)
-            twice[1:] = h[order][1:] == h[order][:-1]
-            keep = twice | np.append(twice[1:], False)
-            order = order[keep]
-            doc, at, piece, start, end = (np.concatenate(x)[order] for x in (docs, ats, pieces, starts, ends))
-            h = h[order]
-            order = np.lexsort((at, doc, h))
-            h, doc, at, piece, start, end = (x[order] for x in (h, doc, at, piece, start, end))
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = h[1:] != h[:-1]
-            marked = np.zeros(len(h), dtype=bool)
-            seen: dict[bytes, tuple[int, int]] = {}
-            for i, (new, p, s, e, d, a) in enumerate(zip(*(x.tolist() for x in (first, piece, start, end, doc, at)), strict=True)):
-                if new:
-                    seen = {}
-                marked[i] = seen.setdefault(texts[p][s:e], (d, a)) != (d, a)
-            if marked.any():
-                out.append(_stretches(doc[marked], at[marked], window))
+        kinds = np.asarray(group["kind"])
+        blobs = group["packed"].to_pylist()
+        out: list[tuple[np.ndarray, ...]] = [_unpack(x)[:3] for x, k in zip(blobs, kinds, strict=True) if k]
+        blobs = [x for x, k in zip(blobs, kinds, strict=True) if not k]
+        parts = max(1, -(-int(np.asarray(group["windows"]).sum()) // (limit or WINDOWS_AT_A_TIME)))
+        for part in range(parts if blobs else 0):
+            doc, at = _repeated(blobs, window, part, parts)
+            if len(doc):
+                out.append(_stretches(doc, at, window))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "first": pa.array(cols[1], pa.int32()), "last": pa.array(cols[2], pa.int32())})
 
     return run
 
 
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_stretches(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, windows_at_a_time: int | None = None
+) -> DataFrame:
     """(doc_id, first, last): stretches of words whose windows start earlier as well; they may overlap."""
     spark = docs.sparkSession
     buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = own.mapInArrow(_cut(window, buckets), SENT)
-    return sent.groupBy("bucket").applyInArrow(_count(window), MARKED)
+    return sent.groupBy("bucket").applyInArrow(_count(window, windows_at_a_time), MARKED)
 
 
 def _strip(with_text: bool):

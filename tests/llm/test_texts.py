@@ -66,6 +66,19 @@ def test_substring_dedup(docs_of):
     assert substring_dedup.substring_dedup(docs_of(rows).where("false")).count() == 0
 
 
+def test_buckets_counted_in_passes_mark_the_same(docs_of):
+    rng = random.Random(14)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, " ".join([*(f"u{rng.randrange(50)}" for _ in range(rng.randint(0, 40))), passage, "tail " * rng.randint(0, 40)])) for i in range(60)]
+    whole = substring_dedup.repeated_stretches(docs_of(rows))
+    passes = substring_dedup.repeated_stretches(docs_of(rows), windows_at_a_time=10)
+
+    def words(df):
+        return {(r.doc_id, k) for r in df.collect() for k in range(r.first, r.last)}
+
+    assert words(whole) == words(passes) and len(words(whole)) > 59 * 80
+
+
 def test_substring_dedup_of_odd_rows(odd):
     got = substring_dedup.substring_dedup(odd).collect()
     assert len(got) == len(ODD)
@@ -174,6 +187,51 @@ def test_language_of_odd_rows(odd, tables):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_against_a_plain_version(docs_of):
+    rng = random.Random(15)
+    letters = {"a": "abcde", "b": "bcdef", "c": "xyz"}
+    say = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 30)))
+    rows = [(i, say(x := rng.choice("aab" if i % 5 else "abc")), x) for i in range(400)] + [(900, "Abc, xyz! 12", None), (901, "--", "a"), (902, None, "b")]
+    docs = docs_of(rows)
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    strip = lambda t: [w for w in (language_id.stripped(x) for x in (t or "").lower().split()) if any(c.isalpha() for c in w)]
+    cut = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    words, pieces = {}, {}
+    for i, t, lang in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in strip(t):
+                words.setdefault(w, dict.fromkeys("abc", 0))[lang] += 1
+                for g in (g for n in (1, 2, 3, 4) for g in cut(w, n)):
+                    pieces.setdefault(g, dict.fromkeys("abc", 0))[lang] += 1
+    words = {w: c for w, c in words.items() if sum(c.values()) >= language_id.LEAST_WORD}
+    pieces = {g: c for g, c in pieces.items() if sum(c.values()) >= language_id.LEAST_GRAM}
+
+    def logs(table):
+        sums = {x: sum(c[x] + 0.1 for c in table.values()) for x in "abc"}
+        raw = {k: {x: np.log((c[x] + 0.1) / sums[x]) for x in "abc"} for k, c in table.items()}
+        return {k: {x: v[x] - sum(v.values()) / 3 for x in "abc"} for k, v in raw.items()}
+
+    by_word, by_piece = logs(words), logs(pieces)
+    for i, t, _ in rows:
+        total, seen = dict.fromkeys("abc", 0.0), strip(t)
+        for w in seen:
+            say_of = by_word.get(w)
+            for n in (4, 3, 2, 1):
+                if say_of is None and (hits := [by_piece[g] for g in cut(w, n) if g in by_piece]):
+                    say_of = {x: language_id.DISCOUNT[n] / len(hits) * sum(h[x] for h in hits) for x in "abc"}
+            for x in "abc":
+                total[x] += (say_of or dict.fromkeys("abc", 0.0))[x]
+        if not seen:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        odds = {x: np.exp(max(-50, v - max(total.values()))) for x, v in total.items()}
+        assert total[got[i].lang_pred] == pytest.approx(max(total.values())) and got[i].score == pytest.approx(1 / sum(odds.values()))
+
+
+def test_language_of_no_rows(docs_of, tables):
+    assert language_id.identify(docs_of([(1, "x")]).where("false"), language_id.learn(tables[0])).count() == 0
+
+
 def test_language_backs_off_to_shorter_grams():
     model = language_id.LanguageModel(["a", "b"], {"word": (1.0, -1.0)}, {"^zz": (0.5, -0.5), "q": (-2.0, 2.0)})
     assert language_id.token_row(model, "word,") == (1.0, -1.0, 1.0)
