@@ -1,12 +1,15 @@
 """Exact deduplication: a tree-merge of sorted digest runs.
 
-Every document becomes one digest entry. Entries are dealt into RUNS logical runs by a hash of the identifier, so that
-the copies of one text spread over all runs. Each round merges FAN neighbouring runs into one: the entries of a digest
-meet, sorted, and one entry with the smallest identifier and the summed count goes on to the next round. A text with
-any number of copies therefore costs a round at most FAN entries a run group, however many rows share it. The verdict
-then goes down the same tree, so that the copies of one text never gather under one key either.
-
-All of it is DataFrame code; a lost executor repeats single partitions.
+Every document becomes one digest entry; the entries of a partition are a run. Each round merges FAN neighbouring runs
+into one, so the number of rounds follows the number of partitions. A round's map tasks sort their runs by digest and
+drop what is repeated in them, slices of the runs are exchanged, and the slices of a group are merged: of entries that
+agree on digest, length and a second hash, one with the smallest identifier and the summed count goes on. A text with any
+number of copies therefore costs a round at most FAN entries a group, however many rows share it. The verdict then goes
+down the same tree, so that the copies of one text never gather under one key either: at the bottom those of FAN
+partitions meet.
+
+Runs are cut into slices by a hash of the digest, so that no run, the last one included, has to fit a task. All of it is
+DataFrame code; a lost executor repeats single partitions.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, checkpointed, numbered, whole
 
-RUNS, FAN = 64, 8
+FAN = 8
 
 #: What must agree for two entries to count as the same text: SHA-256 and, as its verification, byte length and XXH64.
 SAME = ["__digest", "__bytes", "__check"]
@@ -32,14 +35,14 @@ def digest_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.unhex(F.sha2("__flat", 256)).alias("__digest"),
         F.octet_length("__flat").cast("long").alias("__bytes"),
         F.xxhash64("__flat").alias("__check"),
-        F.pmod(F.xxhash64("__id"), F.lit(RUNS)).cast("int").alias("__run"),
+        F.spark_partition_id().alias("__run"),
     )
 
 
 def merge_round(runs: DataFrame, group: str) -> DataFrame:
     """Merge the runs of a group: entries meet sorted by digest, the smallest identifier and the count go on.
 
-    The minimum of a struct has no hash buffer, so Spark sorts each side and merges: map tasks write sorted runs.
+    The minimum of a struct has no hash buffer, so Spark aggregates sorted rows before and after the exchange.
     """
     return (
         runs.groupBy(*SAME, group)
@@ -57,21 +60,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     identifiers only keeps them (keep_id null, kept true). No rows give no rows. Other columns are ignored.
     """
     entries = checkpointed(digest_entries(docs, id_col, text_col))
-    levels = [entries.select(*SAME, F.col("__run").alias("__g0"), F.col("__id").alias("__keep"), F.lit(1).alias("__n"))]
-    levels[0] = merge_round(levels[0], "__g0")
-    width, k = RUNS, 0
-    while width > 1:
-        width, k = width // FAN, k + 1
-        up = levels[-1].withColumn(f"__g{k}", F.floor(F.col(f"__g{k - 1}") / FAN).cast("int"))
-        levels.append(merge_round(up, f"__g{k}"))
+    width = (entries.agg(F.max("__run")).first()[0] or 0) + 1
+    up = lambda g: F.floor(F.col(g) / FAN).cast("int")
+    levels = [merge_round(entries.select(*SAME, up("__run").alias("__g1"), F.col("__id").alias("__keep"), F.lit(1).alias("__n")), "__g1")]
+    while width > FAN:
+        width = -(-width // FAN)
+        below = f"__g{len(levels)}"
+        levels.append(merge_round(levels[-1].withColumn(f"__g{len(levels) + 1}", up(below)), f"__g{len(levels) + 1}"))
 
     # Down the tree: only texts with copies travel; each node takes the verdict of the node that it was merged into.
-    verdict = levels[-1].where("__n > 1").drop(f"__g{k}").withColumnsRenamed({"__keep": "__best", "__n": "__size"})
-    for i in range(k - 1, -1, -1):
-        on = [*SAME] if i == k - 1 else [*SAME, f"__g{i + 1}"]
-        nodes = levels[i].select(*SAME, f"__g{i}", F.floor(F.col(f"__g{i}") / FAN).cast("int").alias(f"__g{i + 1}"))
-        verdict = nodes.join(verdict, on).select(*SAME, f"__g{i}", "__best", "__size")
-    rows = entries.withColumnRenamed("__run", "__g0").join(verdict, [*SAME, "__g0"], "left")
+    top = f"__g{len(levels)}"
+    verdict = levels[-1].where("__n > 1").select(*SAME, top, F.col("__keep").alias("__best"), F.col("__n").alias("__size"))
+    for k in range(len(levels) - 1, 0, -1):
+        nodes = levels[k - 1].select(*SAME, f"__g{k}", up(f"__g{k}").alias(f"__g{k + 1}"))
+        verdict = nodes.join(verdict, [*SAME, f"__g{k + 1}"]).select(*SAME, f"__g{k}", "__best", "__size")
+    rows = entries.withColumn("__g1", up("__run")).join(verdict, [*SAME, "__g1"], "left")
     keep = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__best"))
     return rows.select(
         F.col("__id").alias("doc_id"),
