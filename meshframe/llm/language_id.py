@@ -2,8 +2,9 @@
 
 A known word counts with its log frequency in each language. An unknown word falls back on its character n-grams with
 word edges: the longest length of which any n-gram is known decides, shorter ones are tried only if none is. Frequencies
-come from a bounded sample of labelled rows (SAMPLE_DOCS of them, by a hash of the identifier); the sample is counted
-where it lies, and WORDS words and GRAMS n-grams, the most frequent ones, make the model that workers get.
+come from a bounded sample of labelled rows (SAMPLE_DOCS of them, as many of each language, by a hash of the identifier).
+The sample is written out once and counted once; words and n-grams that it has LEAST_WORD and LEAST_GRAM times make the
+model that workers get, so the model is bounded by the sample.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .tokens import TokenTable, held_out, kept_table, stripped
 
 SAMPLE_DOCS = 8192
-WORDS, GRAMS = 60_000, 60_000
+#: How often the sample must have a word or an n-gram for it to be known.
+LEAST_WORD, LEAST_GRAM = 3, 5
 LONGEST_GRAM = 4
 #: How much less an n-gram says than a whole word, a length.
 DISCOUNT = {4: 0.7, 3: 0.5, 2: 0.3, 1: 0.15}
@@ -67,18 +70,21 @@ def sample_ids(rows: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from rows that are not held out and have a language; the result is bounded by WORDS and GRAMS."""
+    """Learn from rows that are not held out and have a language; without such rows the model knows no language."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = sample_ids(usable, id_col, SAMPLE_DOCS).distinct()
-    taken = usable.join(F.broadcast(ids), F.col(id_col) == F.col("__sample_id"), "left_semi")  # SAMPLE_DOCS rows at most
-    taken = taken.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = taken.mapInArrow(_counts, "lang string, piece string, is_word boolean, n long")
+    usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    ranked = checkpointed(usable.select("id", "lang", place.alias("place")).where(F.col("place") <= SAMPLE_DOCS))
+    n_langs = ranked.where("place = 1").count()
+    ids = ranked.where(F.col("place") <= max(1, SAMPLE_DOCS // max(1, n_langs))).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    # SAMPLE_DOCS rows, or one a language
+    taken = usable.join(F.broadcast(ids.distinct()), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
+    counted = taken.select("lang", "text").mapInArrow(_counts, "lang string, piece string, is_word boolean, n long")
     by_lang = counted.groupBy("is_word", "piece", "lang").agg(F.sum("n").alias("n"))
     pieces = by_lang.groupBy("is_word", "piece").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    most = [
-        pieces.where(F.col("is_word") == is_word).orderBy(F.desc("total"), "piece").limit(n).collect()
-        for is_word, n in ((True, WORDS), (False, GRAMS))
-    ]
+    known = pieces.where(F.col("total") >= F.when(F.col("is_word"), LEAST_WORD).otherwise(LEAST_GRAM)).collect()
+    known.sort(key=lambda r: r["piece"])
+    most = [[r for r in known if r["is_word"] == is_word] for is_word in (True, False)]
     totals: Counter = Counter()
     for r in most[0]:
         totals.update(r["by"])
@@ -129,7 +135,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     best language's likelihood among all. Ties go to the language with more words in the sample. Rows are judged one by
     one; no rows give no rows. Other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
