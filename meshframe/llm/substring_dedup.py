@@ -181,40 +181,44 @@ def _windows(packed: bytes, window: int) -> tuple[np.ndarray, ...]:
 
 def _repeated(blobs: list[bytes], window: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and first word of each window that is not the first of its kind, of windows whose hash falls to the part."""
-    hashes, sizes = [], []
+    hashes, places = [], []
     for x in blobs:
         _, _, start, end, text = _windows(x, window)
         h = Hashes(text).of(start, end)
-        sizes.append(len(h))
-        hashes.append(h if parts == 1 else h[h % np.uint64(parts) == part])
+        mine = np.arange(len(h), dtype=np.int32) if parts == 1 else np.flatnonzero(h % np.uint64(parts) == part).astype(np.int32)
+        hashes.append(h[mine])
+        places.append(mine)
+    edges = np.cumsum([0, *map(len, hashes)])
     h = np.concatenate(hashes)
-    seen, n = np.unique(h, return_counts=True)
-    twice = seen[n > 1]
-    del h, seen, n
+    del hashes
+    order = np.argsort(h)
+    alike = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), dtype=bool)
+    twice[order[1:][alike]] = True
+    twice[order[:-1][alike]] = True
+    del order, alike
     found, texts = [], []
     for k, x in enumerate(blobs):  # only what may be repeated is looked at word for word
-        if not np.isin(hashes[k], twice, assume_unique=False).any():
+        some = twice[edges[k] : edges[k + 1]]
+        if not some.any():
             continue
         doc, at, start, end, text = _windows(x, window)
-        h = Hashes(text).of(start, end)
-        i = np.flatnonzero(np.isin(h, twice))
-        if parts > 1:
-            i = i[h[i] % np.uint64(parts) == part]
+        i = places[k][some]
         raw = text.tobytes()
-        found.append((h[i], doc[i], at[i]))
+        found.append((h[edges[k] : edges[k + 1]][some], doc[i], at[i]))
         texts += [raw[a:b] for a, b in zip(start[i].tolist(), end[i].tolist(), strict=True)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((at, doc, h))
+    h, doc, at = h[order], doc[order], at[order]
     marked = np.zeros(len(h), dtype=bool)
-    kinds: dict[bytes, tuple[int, int]] = {}
-    last = None
-    for i in order.tolist():
-        if h[i] != last:
-            kinds, last = {}, h[i]
-        place = (int(doc[i]), int(at[i]))
-        marked[i] = kinds.setdefault(texts[i], place) != place
+    kinds: dict[bytes, list[int]] = {}
+    new = np.append(True, h[1:] != h[:-1])
+    for k, (i, head, *place) in enumerate(zip(order.tolist(), new.tolist(), doc.tolist(), at.tolist(), strict=True)):
+        if head:
+            kinds = {}
+        marked[k] = kinds.setdefault(texts[i], place) != place
     return doc[marked], at[marked]
 
 
