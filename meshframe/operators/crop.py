@@ -45,6 +45,17 @@ def crop_tree(blocks: DataFrame, box: Box) -> DataFrame:
     return rows.select((F.col("__rank") + 1).alias("igrid"), "level", *shifted, "old_igrid")
 
 
+def crop_parents(blocks: DataFrame, box: Box) -> DataFrame:
+    """(igrid, level, b1, b2, b3, is_leaf, root): refined nodes of the box, shifted by its corner; igrid is -1."""
+    parents = blocks.where(~F.col("is_leaf") & in_box(box)).select("level", *[F.col(b).alias(f"__{b}") for b in BLOCK])
+    order = crop_roots(blocks.sparkSession, box).select("sfc", *[F.col(b).alias(f"r{b}") for b in BLOCK])
+    on = [F.expr(f"shiftright(__{b}, level - 1)") == F.col(f"r{b}") for b in BLOCK]
+    shifted = [(F.col(f"__{b}") - lo * F.expr("shiftleft(1L, level - 1)")).alias(b) for b, (lo, _) in zip(BLOCK, box, strict=True)]
+    return parents.join(order, on[0] & on[1] & on[2]).select(
+        F.lit(-1).cast("long").alias("igrid"), "level", *shifted, F.lit(False).alias("is_leaf"), F.col("sfc").alias("root")
+    )
+
+
 def crop_forest(blocks: DataFrame, box: Box, deepest: int) -> DataFrame:
     """(pos, is_leaf) of the cropped forest."""
     spark = blocks.sparkSession
@@ -70,6 +81,7 @@ def crop(mesh: Mesh, box: Box) -> Mesh:
     deepest = mesh.blocks.agg(F.max("level")).first()[0]
     leaves = crop_tree(mesh.blocks, box).select("level", *BLOCK)
     blocks = number_leaves(leaves, level1_order(spark, sides(box)), deepest).withColumn("is_leaf", F.lit(True))
+    blocks = blocks.select("igrid", "level", *BLOCK, "is_leaf", "root").unionByName(crop_parents(mesh.blocks, box))
     step = [(hi - lo) / n for lo, hi, n in zip(mesh.xmin, mesh.xmax, mesh.roots, strict=True)]
     cells, keep = mesh.cells, F.lit(True)
     for a, x in enumerate(AXES):
@@ -83,6 +95,6 @@ def crop(mesh: Mesh, box: Box) -> Mesh:
         domain_nx=tuple(s * b for s, b in zip(sides(box), mesh.block_nx, strict=True)),
         xmin=tuple(lo + b[0] * d for lo, b, d in zip(mesh.xmin, box, step, strict=True)),
         xmax=tuple(lo + b[1] * d for lo, b, d in zip(mesh.xmin, box, step, strict=True)),
-        blocks=blocks.select("igrid", "level", *BLOCK, "is_leaf", "root"),
+        blocks=blocks,
         cells=cells,
     )

@@ -25,17 +25,17 @@ SPAN = "(1 << (l.level - 1))"
 STEPS = "d(d1) CROSS JOIN (SELECT unnest([-1, 0, 1])::BIGINT) e(d2) CROSS JOIN (SELECT unnest([-1, 0, 1])::BIGINT) f(d3)"
 
 
-def neighbors_cte(faces: bool = False) -> str:
+def neighbors_cte(faces: bool = False, nodes: str = "nodes", roots: tuple[int, ...] = ROOTS) -> str:
     some = "abs(d1) + abs(d2) + abs(d3) = 1" if faces else "abs(d1) + abs(d2) + abs(d3) > 0"
-    inside = " AND ".join(f"b{a} + d{a} BETWEEN 0 AND {ROOTS[a - 1]} * {SPAN} - 1" for a in (1, 2, 3))
+    inside = " AND ".join(f"b{a} + d{a} BETWEEN 0 AND {roots[a - 1]} * {SPAN} - 1" for a in (1, 2, 3))
     same = " AND ".join(f"s.b{a} = l.b{a} + d{a}" for a in (1, 2, 3))
     up = " AND ".join(f"c.b{a} = (l.b{a} + d{a}) >> 1" for a in (1, 2, 3))
     return f"""nbrs AS (
   SELECT l.igrid, l.level, d1, d2, d3, l.b1 + d1 AS t1, l.b2 + d2 AS t2, l.b3 + d3 AS t3,
          CASE WHEN NOT ({inside.replace("b1 +", "l.b1 +").replace("b2 +", "l.b2 +").replace("b3 +", "l.b3 +")}) THEN 1 WHEN s.is_leaf THEN 3 WHEN NOT s.is_leaf THEN 4 WHEN c.igrid IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS ntype,
          CASE WHEN s.is_leaf THEN s.igrid WHEN s.is_leaf IS NULL THEN coalesce(c.igrid, 0) ELSE 0 END AS nbr
-  FROM nodes l CROSS JOIN (SELECT unnest([-1, 0, 1])::BIGINT) {STEPS}
-  LEFT JOIN nodes s ON s.level = l.level AND {same} LEFT JOIN nodes c ON c.is_leaf AND c.level = l.level - 1 AND {up}
+  FROM {nodes} l CROSS JOIN (SELECT unnest([-1, 0, 1])::BIGINT) {STEPS}
+  LEFT JOIN {nodes} s ON s.level = l.level AND {same} LEFT JOIN {nodes} c ON c.is_leaf AND c.level = l.level - 1 AND {up}
   WHERE l.is_leaf AND {some})"""
 
 
@@ -50,6 +50,19 @@ cropped AS (
   FROM nodes n JOIN newroots o ON {" AND ".join(f"n.b{a} >> (n.level - 1) = o.b{a}" for a in (1, 2, 3))} WHERE n.is_leaf)"""
 
 
+CROP_NODES = f"""cnodes AS (
+  SELECT coalesce(c.igrid, -1) AS igrid, n.level, {", ".join(f"n.b{a + 1} - {lo} * (1 << (n.level - 1)) AS b{a + 1}" for a, (lo, _) in enumerate(CROP))}, n.is_leaf
+  FROM (SELECT * FROM nodes WHERE {_in_crop()}) n LEFT JOIN cropped c ON n.is_leaf AND c.old_igrid = n.igrid)"""
+
+
+def children_sql(nodes: str = "nodes") -> str:
+    return f"""SELECT n.igrid, CASE d1 WHEN -1 THEN 0 WHEN 1 THEN 3 ELSE 1 + (c.b1 & 1) END AS c1, CASE d2 WHEN -1 THEN 0 WHEN 1 THEN 3 ELSE 1 + (c.b2 & 1) END AS c2,
+       CASE d3 WHEN -1 THEN 0 WHEN 1 THEN 3 ELSE 1 + (c.b3 & 1) END AS c3, c.igrid AS nbr
+FROM nbrs n JOIN {nodes} c ON c.is_leaf AND c.level = n.level + 1 AND c.b1 >> 1 = t1 AND c.b2 >> 1 = t2 AND c.b3 >> 1 = t3
+ AND (d1 = 0 OR c.b1 & 1 = CASE d1 WHEN -1 THEN 1 ELSE 0 END) AND (d2 = 0 OR c.b2 & 1 = CASE d2 WHEN -1 THEN 1 ELSE 0 END) AND (d3 = 0 OR c.b3 & 1 = CASE d3 WHEN -1 THEN 1 ELSE 0 END)
+WHERE ntype = 4"""
+
+
 def _located(shift: float) -> str:
     box = " AND ".join(f"{x} BETWEEN n.b{a} * (8.0 / (1 << (n.level - 1))) AND (n.b{a} + 1) * (8.0 / (1 << (n.level - 1)))" for a, x in ((1, "x"), (2, "y"), (3, "z")))
     return f"""{X.points_cte(shift)},
@@ -171,6 +184,26 @@ crl AS (SELECT * FROM (SELECT i, j, k, {_curl(names, tuple(f"{2 * x!r}::DOUBLE"
 
 _SIZE = 24 + 8 * 7 * 512
 
+_CROP_CELLS = _with(
+    X.refined_cte(),
+    sql=f"SELECT {L}, " + ", ".join(f"{x} - {lo} * 8 * (1 << (level - 1)) AS {x}" for x, (lo, _) in zip("ijk", CROP, strict=True)) + f", {FS} FROM cells WHERE " + " AND ".join(f"{x} BETWEEN {lo} * 8 * (1 << (level - 1)) AND {hi} * 8 * (1 << (level - 1)) - 1" for x, (lo, hi) in zip("ijk", CROP, strict=True)),
+)
+_FROM_UNIFORM = _with(X.uniform_cte(), sql=f"SELECT n.igrid, c.i, c.j, c.k, {FS.replace('b1', 'c.b1').replace('b2', 'c.b2').replace('b3', 'c.b3')} FROM cells c JOIN nodes n ON n.b1 = c.i // 8 AND n.b2 = c.j // 8 AND n.b3 = c.k // 8")
+_HEADER_BYTES = 10 * 4 + 8 + 2 * 3 * 8 + 2 * 3 * 4 + 3 * 4 + 16 + 4 + 7 * 16 + 16 + 4 + 3 * 4
+_NODE_BYTES = 4 * 16 + 15 * (4 + 12 + 8)
+_BLOCK_ROWS = _with(NODES, sql=f"SELECT igrid, {L}, b1, b2, b3, {_HEADER_BYTES + _NODE_BYTES} + (igrid - 1) * {_SIZE} AS \"offset\" FROM nodes WHERE is_leaf")
+
+
+def _header_sql(it: int, time: float, n_params: int) -> str:
+    start = _HEADER_BYTES + n_params * (8 + 16)
+    return _with(
+        NODES,
+        sql=f"""SELECT sum(is_leaf::INT)::BIGINT AS nleafs, sum((NOT is_leaf)::INT)::BIGINT AS nparents, max(level)::BIGINT AS levmax, 7::BIGINT AS nw, 3::BIGINT AS ndim,
+       {it}::BIGINT AS it, {time}::DOUBLE AS time, {start}::BIGINT AS offset_tree, {start + _NODE_BYTES}::BIGINT AS offset_blocks, 16::BIGINT AS nx1, 16::BIGINT AS nx2, 16::BIGINT AS nx3
+FROM nodes""",
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "morton_encode": f"SELECT l_orderkey, l_linenumber, {X.morton_sql('l_orderkey % 1024', 'l_partkey % 1024', 'l_suppkey % 1024')} AS code FROM lineitem",
     "interleave_2d": "SELECT o_orderkey, o_custkey, list_sum(list_transform(range(31), lambda t: (((o_orderkey >> t::INT) & 1) << (2 * t)::INT) + (((o_custkey >> t::INT) & 1) << (2 * t + 1)::INT)))::BIGINT AS code FROM orders",
@@ -190,15 +223,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "neighbor_types": _with(NODES, neighbors_cte(), sql="SELECT igrid, d1, d2, d3, ntype FROM nbrs"),
     "face_neighbors": _with(NODES, neighbors_cte(True), sql="SELECT igrid, d1, d2, d3, ntype, nbr FROM nbrs"),
-    "neighbor_children": _with(
-        NODES,
-        neighbors_cte(),
-        sql="""SELECT n.igrid, CASE d1 WHEN -1 THEN 0 WHEN 1 THEN 3 ELSE 1 + (c.b1 & 1) END AS c1, CASE d2 WHEN -1 THEN 0 WHEN 1 THEN 3 ELSE 1 + (c.b2 & 1) END AS c2,
-       CASE d3 WHEN -1 THEN 0 WHEN 1 THEN 3 ELSE 1 + (c.b3 & 1) END AS c3, c.igrid AS nbr
-FROM nbrs n JOIN nodes c ON c.is_leaf AND c.level = n.level + 1 AND c.b1 >> 1 = t1 AND c.b2 >> 1 = t2 AND c.b3 >> 1 = t3
- AND (d1 = 0 OR c.b1 & 1 = CASE d1 WHEN -1 THEN 1 ELSE 0 END) AND (d2 = 0 OR c.b2 & 1 = CASE d2 WHEN -1 THEN 1 ELSE 0 END) AND (d3 = 0 OR c.b3 & 1 = CASE d3 WHEN -1 THEN 1 ELSE 0 END)
-WHERE ntype = 4""",
-    ),
+    "neighbor_children": _with(NODES, neighbors_cte(), sql=children_sql()),
     "phys_sides": _with(
         NODES,
         sql="SELECT igrid, " + ", ".join(f"CASE WHEN b{a} = 0 AND b{a} = 2 * (1 << (level - 1)) - 1 THEN 2 WHEN b{a} = 0 THEN -1 WHEN b{a} = 2 * (1 << (level - 1)) - 1 THEN 1 ELSE 0 END::BIGINT AS side{a}" for a in (1, 2, 3)) + " FROM nodes WHERE is_leaf",
@@ -232,11 +257,23 @@ WHERE ntype = 4""",
         + ", ".join(f"{(hi - lo) * 8}::BIGINT AS nx{a + 1}, {lo * 8.0}::DOUBLE AS xmin{a + 1}, {hi * 8.0}::DOUBLE AS xmax{a + 1}" for a, (lo, hi) in enumerate(CROP))
         + " FROM cropped",
     ),
-    "crop_cells": _with(
-        X.refined_cte(),
-        sql=f"SELECT {L}, " + ", ".join(f"{x} - {lo} * 8 * (1 << (level - 1)) AS {x}" for x, (lo, _) in zip("ijk", CROP, strict=True)) + f", {FS} FROM cells WHERE " + " AND ".join(f"{x} BETWEEN {lo} * 8 * (1 << (level - 1)) AND {hi} * 8 * (1 << (level - 1)) - 1" for x, (lo, hi) in zip("ijk", CROP, strict=True)),
-    ),
-    "blocks_from_uniform": _with(X.uniform_cte(), sql=f"SELECT n.igrid, c.i, c.j, c.k, {FS.replace('b1', 'c.b1').replace('b2', 'c.b2').replace('b3', 'c.b3')} FROM cells c JOIN nodes n ON n.b1 = c.i // 8 AND n.b2 = c.j // 8 AND n.b3 = c.k // 8"),
+    "crop_cells": _CROP_CELLS,
+    "crop_neighbors": _with(NODES, CROP_TREE, CROP_NODES, neighbors_cte(nodes="cnodes", roots=CROP_NG), sql="SELECT igrid, d1, d2, d3, ntype, nbr FROM nbrs"),
+    "crop_children": _with(NODES, CROP_TREE, CROP_NODES, neighbors_cte(nodes="cnodes", roots=CROP_NG), sql=children_sql("cnodes")),
+    "cropped_snapshot": _CROP_CELLS,
+    "snapshot_header": _header_sql(0, 2.5, 0),
+    "rewritten_header": _header_sql(7, 1.5, 1),
+    "snapshot_forest": _with(NODES, sql="SELECT pos, is_leaf FROM nodes"),
+    "snapshot_blocks": _BLOCK_ROWS,
+    "metadata_only": _BLOCK_ROWS,
+    "snapshot_cells": _with(*GHOSTED, sql=f"SELECT igrid, {L}, i, j, k, {FS} FROM own"),
+    "snapshot_open": _with(*GHOSTED, sql=f"SELECT igrid, {L}, i, j, k, {FS} FROM own"),
+    "copied_blocks": _with(*GHOSTED, sql=f"SELECT igrid, {L}, i, j, k, {FS} FROM own"),
+    "snapshot_fields": _with(*GHOSTED, sql=f"SELECT igrid, {L}, i, j, k, b3, rho FROM own"),
+    "rewritten_field": _with(*GHOSTED, sql=f"SELECT igrid, {L}, i, j, k, m3, b1 * 2 AS b1, b2 FROM own"),
+    "vtk_cells": _with(*GHOSTED, sql="SELECT igrid, f AS field, i, j, k, CASE f WHEN 'rho' THEN rho ELSE b2 END AS value FROM own, (SELECT unnest(['rho', 'b2']) AS f)"),
+    "dense_round_trip": _FROM_UNIFORM,
+    "blocks_from_uniform": _FROM_UNIFORM,
     "project_fields": _with(X.uniform_cte(), sql="SELECT i, j, k, rho, b3 FROM cells"),
     "load_interior": _with(*GHOSTED, sql=f"SELECT igrid, {L}, i, j, k, {FS} FROM own"),
     "empty_mesh_cells": _with(X.refined_cte(), sql=f"SELECT {L}, i, j, k, 0.0::DOUBLE AS density, 0.0::DOUBLE AS magnetic_field FROM cells"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import fields as A
 from ..functions.keys import interleave, morton3
 from ..operators import calculus, crop, forest, ghost, mesh, sample
+from ..operators.lineage import shared_dir
 from ..operators.mesh import BLOCK, KEY
 from ..sources.codec import Header
+from ..sources import snapshot
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +195,120 @@ def crop_cells(spark: SparkSession, d: str) -> DataFrame:
     return _ints(m.cells)
 
 
+@query
+def crop_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    m = crop.crop(X.refined_mesh(spark, d), CROP)
+    return _ints(forest.neighbors(m.blocks, m.roots).select("igrid", "d1", "d2", "d3", "ntype", "nbr"))
+
+
+@query
+def crop_children(spark: SparkSession, d: str) -> DataFrame:
+    m = crop.crop(X.refined_mesh(spark, d), CROP)
+    return _ints(forest.neighbor_children(m.blocks, m.roots))
+
+
+def _file(spark: SparkSession, m: mesh.Mesh | None = None, **header: object) -> str:
+    """A new place in the shared folder, and the mesh written there."""
+    path = snapshot.local(f"{shared_dir(spark)}/{uuid.uuid4().hex}.dat")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    if m is not None:
+        snapshot.write_snapshot(m, path, **header)
+    return path
+
+
+def _scan(spark: SparkSession, path: str, table: str, **options: str) -> DataFrame:
+    spark.dataSource.register(snapshot.Snapshot)
+    return _ints(spark.read.format("meshframe").options(table=table, **options).load(path))
+
+
+HEADER = ("nleafs", "nparents", "levmax", "nw", "ndim", "it", "time", "offset_tree", "offset_blocks")
+
+
+def _header(spark: SparkSession, path: str) -> DataFrame:
+    return _scan(spark, path, "header").select(*HEADER, *[F.col("domain_nx")[a].cast("long").alias(f"nx{a + 1}") for a in range(3)])
+
+
+@query
+def snapshot_header(spark: SparkSession, d: str) -> DataFrame:
+    return _header(spark, _file(spark, X.refined_mesh(spark, d), time=2.5))
+
+
+@query
+def snapshot_forest(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, _file(spark, X.refined_mesh(spark, d)), "forest")
+
+
+@query
+def snapshot_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, _file(spark, X.refined_mesh(spark, d)), "blocks")
+
+
+@query
+def snapshot_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, _file(spark, X.refined_mesh(spark, d)), "cells", blocks_a_task="4")
+
+
+@query
+def snapshot_fields(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, _file(spark, X.refined_mesh(spark, d)), "cells", fields="b3,rho")
+
+
+@query
+def snapshot_open(spark: SparkSession, d: str) -> DataFrame:
+    m = snapshot.open_snapshot(spark, _file(spark, X.refined_mesh(spark, d)))[1]
+    return _ints(ghost.ghosted(m).where("NOT ghost").drop("ghost"))
+
+
+@query
+def metadata_only(spark: SparkSession, d: str) -> DataFrame:
+    path = _file(spark)
+    snapshot.write_metadata(X.refined_mesh(spark, d), path)
+    return _scan(spark, path, "blocks")
+
+
+@query
+def rewritten_field(spark: SparkSession, d: str) -> DataFrame:
+    m = X.refined_mesh(spark, d)
+    path = _file(spark, m)
+    snapshot.write_field(path, m.with_cells(m.cells.withColumn("b1", F.col("b1") * 2), m.fields), "b1")
+    return _scan(spark, path, "cells", fields="m3,b1,b2")
+
+
+def _copy(spark: SparkSession, d: str) -> str:
+    path = _file(spark)
+    snapshot.rewrite_header(_file(spark, X.refined_mesh(spark, d)), path, it=7, time=1.5, params=(1.5,), param_names=("gamma",))
+    return path
+
+
+@query
+def rewritten_header(spark: SparkSession, d: str) -> DataFrame:
+    return _header(spark, _copy(spark, d))
+
+
+@query
+def copied_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, _copy(spark, d), "cells")
+
+
+@query
+def dense_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    m = X.uniform_mesh(spark, d)
+    back = snapshot.mesh_from_arrays(spark, snapshot.dense(m), m.fields, m.xmin, m.xmax, m.block_nx)
+    return _ints(mesh.split_to_blocks(back).drop("level"))
+
+
+@query
+def vtk_cells(spark: SparkSession, d: str) -> DataFrame:
+    path = _file(spark).replace(".dat", ".vthb")
+    snapshot.write_vtk(X.refined_mesh(spark, d), path)
+    return snapshot.read_vtk(spark, path.removesuffix(".vthb")).where("field IN ('rho', 'b2')")
+
+
+@query
+def cropped_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, _file(spark, crop.crop(X.refined_mesh(spark, d), CROP)), "cells").drop("igrid")
+
+
 @query
 def blocks_from_uniform(spark: SparkSession, d: str) -> DataFrame:
     return mesh.split_to_blocks(X.uniform_mesh(spark, d)).drop("level")

@@ -2,8 +2,8 @@
 
 spark.read.format("meshframe").option("table", "header|forest|blocks|cells").load(path): a cells scan has one task for each
 run of blocks and reads only the bytes of the fields asked for (option `fields`). With the option `pushdown` and Spark's
-spark.sql.python.filterPushdown.enabled, filters on igrid and level skip blocks before anything of them is read. Every
-executor must see the path.
+spark.sql.python.filterPushdown.enabled, filters on igrid and level skip blocks before anything of them is read, and runs
+without any such block get no task. A task reads the slice of the tree that names its blocks. Every executor must see the path.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ BLOCKS_A_TASK = 64
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 @dataclass
@@ -65,8 +66,8 @@ class SnapshotReader(DataSourceReader):
         self.step = int(options.get("blocks_a_task", BLOCKS_A_TASK))
         self.tests: list[tuple[str, str, int]] = []
 
-    def _kept(self, level: np.ndarray) -> np.ndarray:
-        values = {"igrid": np.arange(1, len(level) + 1), "level": level}
+    def _kept(self, level: np.ndarray, first: int = 0) -> np.ndarray:
+        values = {"igrid": np.arange(first + 1, first + len(level) + 1), "level": level}
         ok = np.ones(len(level), dtype=bool)
         for name, test, value in self.tests:
             ok &= getattr(values[name], test)(value)
@@ -76,8 +77,12 @@ class SnapshotReader(DataSourceReader):
         if self.table != "cells":
             return [Run(0, 0)]
         with open(self.path, "rb") as f:
-            n = codec.read_header(f).nleafs
-        return [Run(a, min(a + self.step, n)) for a in range(0, n, self.step)]
+            h = codec.read_header(f)
+            runs = [Run(a, min(a + self.step, h.nleafs)) for a in range(0, h.nleafs, self.step)]
+            if self.tests:
+                kept = np.unique(self._kept(codec.read_tree(f, h)[0]) // self.step)
+                runs = [runs[k] for k in kept.tolist()]
+        return runs
 
     def read(self, run: Run) -> Iterator:
         with open(self.path, "rb") as f:
@@ -88,14 +93,13 @@ class SnapshotReader(DataSourceReader):
             elif self.table == "forest":
                 yield pa.RecordBatch.from_pydict({"pos": np.arange(h.nleafs + h.nparents, dtype=np.int64), "is_leaf": codec.read_forest(f, h)})
             else:
-                level, index, offset = codec.read_tree(f, h)
+                level, index, offset = codec.read_tree(f, h, run.first, run.last if self.table == "cells" else None)
                 if self.table == "blocks":
                     cols = {"igrid": np.arange(1, h.nleafs + 1), "level": level.astype(np.int32), **{b: (index[:, a] - 1).astype(np.int64) for a, b in enumerate(BLOCK)}}
                     yield pa.RecordBatch.from_pydict({**cols, "offset": offset})
                     return
-                for g in self._kept(level):
-                    if run.first <= g < run.last:
-                        yield self._cells(f, h, int(g), int(level[g]), index[g] - 1, int(offset[g]))
+                for g in self._kept(level, run.first):
+                    yield self._cells(f, h, run.first + int(g), int(level[g]), index[g] - 1, int(offset[g]))
 
     def _cells(self, f, h: codec.Header, g: int, level: int, index: np.ndarray, offset: int) -> pa.RecordBatch:
         low, _ = codec.block_ghosts(f, h, offset)
@@ -258,6 +262,13 @@ def rewrite_header(source: str, target: str, **changes: object) -> codec.Header:
     return h
 
 
+def header_row(h: codec.Header) -> dict[str, object]:
+    """A header as one flat row of numbers: what the tree and the blocks need."""
+    plain = {c: getattr(h, c) for c in ("nleafs", "nparents", "levmax", "nw", "ndim", "it", "time")}
+    tree, blocks = h.offsets()
+    return plain | {"offset_tree": tree, "offset_blocks": blocks} | {f"nx{a + 1}": n for a, n in enumerate(h.domain_nx)}
+
+
 def dense(mesh: Mesh) -> np.ndarray:
     """A uniform mesh's fields as one array [x, y, z, field] on the driver."""
     if mesh.blocks.where("level > 1").limit(1).count():
@@ -311,3 +322,23 @@ def write_vtk(mesh: Mesh, path: str) -> list[str]:
     head = '<VTKFile type="vtkOverlappingAMR" version="1.1" byte_order="LittleEndian">'
     root.write_text(f'{head}<vtkOverlappingAMR origin="{xmin[0]} {xmin[1]} {xmin[2]}" grid_description="XYZ">{"".join(parts)}</vtkOverlappingAMR></VTKFile>\n')
     return [str(root), *[str(folder / f"{r.igrid}.vti") for r in done]]
+
+
+def read_vtk(spark: SparkSession, folder: str) -> DataFrame:
+    """(igrid, field, i, j, k, value) of every image file that write_vtk wrote; one task a run of files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.vti").load(folder).select("path", "content")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image = ElementTree.fromstring(content)[0]
+                e = [int(x) for x in image.get("WholeExtent").split()]
+                nx = [e[1] - e[0], e[3] - e[2], e[5] - e[4]]
+                k, j, i = np.indices(nx[::-1]).reshape(3, -1)
+                for array in image.iter("DataArray"):
+                    value = np.frombuffer(base64.b64decode(array.text)[4:], "<f8")
+                    at = {x: (v + low).astype(np.int64) for x, v, low in zip(AXES, (i, j, k), e[::2], strict=True)}
+                    n = len(value)
+                    yield pa.RecordBatch.from_pydict({"igrid": np.full(n, int(Path(path).stem)), "field": [array.get("Name")] * n, **at, "value": value})
+
+    return files.mapInArrow(rows, "igrid long, field string, i long, j long, k long, value double")
