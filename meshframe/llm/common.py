@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +52,31 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _one_file_scan(docs: DataFrame) -> bool:
+    """Whether docs are the rows of files, each once at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number __row for each row, written out so that a row keeps its number whoever reads it again."""
-    path = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """docs with __row, a struct (file, at) that names each row whoever reads it again: the place in its Parquet file, and
+    for rows from elsewhere a number in a copy that is written out."""
+    if _one_file_scan(docs):
+        try:
+            place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.select("*", place.alias("__row"))
+        except AnalysisException:  # the files are not Parquet
+            pass
+    place = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    path = written(docs.withColumn("__row", place), "rows")
     _made.append(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def forget_rows(spark: SparkSession) -> None:
-    """Delete what numbered() wrote, once the results are written."""
+    """Delete the copies that numbered() wrote, once the results are written."""
     while _made:
         removed(spark, _made.pop())
 

@@ -164,12 +164,12 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows that the mix takes, with their columns and size, source_size, target and taken, each row by itself.
 
     Columns of docs by these four names are replaced. Rows that repeat an identifier stand next to each other in the
-    seeded order, in the order of their rows.
+    seeded order, in the order of a hash of their texts.
     """
     made = ["size", "source_size", "target", "taken"]
     rows = numbered(docs)
     own = rows.select(
-        F.struct(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row")).alias("key"),
+        F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col("__row").alias("row")).alias("key"),
         F.col(f"`{text_col}`").alias("text"),
         F.col(f"`{source_col}`").alias("source"),
     )

@@ -376,18 +376,18 @@ def keep_one_a_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = numbered(docs)
     own = rows.select(F.col(f"`{id_col}`").alias("__id"), "__row", F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(own.dtypes)["__id"]
-    prints = checkpointed(own.mapInArrow(_wide, f"__id {kind}, __row long, " + ", ".join(f"{f} long" for f in FPS)))
+    prints = checkpointed(own.mapInArrow(_wide, f"__id {kind}, __row struct<file:long,at:long>, " + ", ".join(f"{f} long" for f in FPS)))
     least = F.min(F.struct(F.isnull("__id").alias("none"), "__id", "__row")).alias("least")
-    nodes = checkpointed(prints.groupBy(*FPS).agg(least))
+    nodes = checkpointed(prints.groupBy(*FPS).agg(least).withColumn("node", F.monotonically_increasing_id()))
     keys = [
         F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(FPS, masks, strict=True) if m]) for t, masks in enumerate(_samples())
     ]
     dealt = (
-        nodes.select(F.explode(F.array(*keys)).alias("key"), *FPS, F.col("least.__row").alias("node"))
+        nodes.select(F.explode(F.array(*keys)).alias("key"), *FPS, "node")
         .repartition("key")
         .sortWithinPartitions("key")
     )
     tree = components(dealt.mapInArrow(_linker(near_distance(similarity), 1, WIDE), "u long, v long"))
-    node = nodes.select("least", F.col("least.__row").alias("node")).join(tree, F.col("node") == F.col("u"), "left")
+    node = nodes.select("least", "node").join(tree, F.col("node") == F.col("u"), "left")
     best = node.groupBy(F.coalesce("v", "node").alias("root")).agg(F.min("least").alias("least"))
     return rows.join(best.select(F.col("least.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
