@@ -73,12 +73,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from rows that are not held out and have a language; without such rows the model knows no language."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ranked = checkpointed(usable.select("id", "lang", place.alias("place")).where(F.col("place") <= SAMPLE_DOCS))
-    n_langs = ranked.where("place = 1").count()
-    ids = ranked.where(F.col("place") <= max(1, SAMPLE_DOCS // max(1, n_langs))).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    sizes = checkpointed(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    quota = max(1, SAMPLE_DOCS // max(1, sizes.count()))
+    # A hash below a language's rate leaves about twice its quota, so the ranking sees few rows of a hot language too.
+    rates = sizes.select(F.col("lang").alias("__of"), F.least(F.lit(1.0), F.lit(2.0 * quota) / F.col("n")).alias("rate"))
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / float(1 << 53)
+    some = usable.select("id", "lang").join(F.broadcast(rates), F.col("lang") == F.col("__of")).where(at < F.col("rate"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 53)), "id"))
+    ids = some.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= quota)
+    ids = checkpointed(ids.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")))
     # SAMPLE_DOCS rows, or one a language
-    taken = usable.join(F.broadcast(ids.distinct()), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
+    taken = usable.join(F.broadcast(ids), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
     counted = taken.select("lang", "text").mapInArrow(_counts, "lang string, piece string, is_word boolean, n long")
     by_lang = counted.groupBy("is_word", "piece", "lang").agg(F.sum("n").alias("n"))
     pieces = by_lang.groupBy("is_word", "piece").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))

@@ -228,6 +228,16 @@ def test_language_against_a_plain_version(docs_of):
         assert total[got[i].lang_pred] == pytest.approx(max(total.values())) and got[i].score == pytest.approx(1 / sum(odds.values()))
 
 
+def test_language_sample_of_a_hot_language(docs_of, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 60)
+    rows = [(i, f"hot{i}", "a") for i in range(3000)] + [(5000 + i, f"cold{i}", "b") for i in range(30)]
+    monkeypatch.setattr(language_id, "LEAST_WORD", 1)
+    model = language_id.learn(docs_of(rows))
+    taken = [w for w in model.words if w.startswith(("hot", "cold"))]
+    cold = sum(zlib.crc32(str(5000 + i).encode()) % 3 != 1 for i in range(30))
+    assert sum(w.startswith("hot") for w in taken) == 30 and sum(w.startswith("cold") for w in taken) == min(30, cold)
+
+
 def test_language_of_no_rows(docs_of, tables):
     assert language_id.identify(docs_of([(1, "x")]).where("false"), language_id.learn(tables[0])).count() == 0
 
