@@ -69,7 +69,7 @@ def bit_counts(h: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _shingles(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First byte and end of each shingle, and the first shingle and number of shingles of each text."""
     n = np.diff(w.bounds)
-    count = np.where(n >= length, n - length + 1, np.minimum(n, 1))
+    count = np.maximum(n - length + 1, 0) if w.base else np.where(n >= length, n - length + 1, np.minimum(n, 1))
     heads = np.cumsum(count) - count
     word = np.arange(count.sum()) + np.repeat(w.bounds[:-1] - heads, count)
     last = np.minimum(word + length, np.repeat(w.bounds[1:], count)) - 1
@@ -85,11 +85,16 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         out = np.zeros(batch.num_rows, dtype=np.uint64)
-        for w in words_of(batch.column(1), lower=True):
+        all_ones, all_n = 0, 0
+        for w in words_of(batch.column(1), lower=True, overlap=SHINGLE - 1):
             start, end, heads, n = _shingles(w, SHINGLE)
             raw = w.text.tobytes()
             h = np.array([digest(raw[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
-            out[w.first : w.first + w.n_docs] = _packed(bit_counts(h, heads, n), n)
+            ones = bit_counts(h, heads, n)
+            if w.base or w.more:
+                ones, n = all_ones + ones, all_n + n
+                all_ones, all_n = (ones, n) if w.more else (0, 0)
+            out[w.first : w.first + w.n_docs] = _packed(ones, n)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -105,10 +110,17 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of the sets of shingles, WIDE words each."""
     for batch in batches:
         out = np.zeros((WIDE, batch.num_rows), dtype=np.uint64)
-        for w in words_of(batch.column(2), lower=True):
+        seen: list[np.ndarray] = []
+        for w in words_of(batch.column(2), lower=True, overlap=NEAR_SHINGLE - 1):
             start, end, _, n = _shingles(w, NEAR_SHINGLE)
             h = Hashes(w.text).of(start, end)
             doc = np.repeat(np.arange(w.n_docs), n)
+            if w.base or w.more:
+                seen.append(np.unique(h))
+                if w.more:
+                    continue
+                h, seen = np.concatenate(seen), []
+                doc = np.zeros(len(h), dtype=np.int64)
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), dtype=bool)

@@ -89,8 +89,8 @@ def _cut(window: int, buckets: int):
         for batch in (p for b in batches for p in pieces(b, 1, PIECE)):
             known = np.asarray(batch.column(0).is_valid())
             ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
-            parts, texts = [], []
-            for w in words_of(batch.column(1)):
+            parts, texts, held = [], [], 0
+            for w in words_of(batch.column(1), overlap=window - 1):
                 first, n, least, own = super_kmers(w, window)
                 ok = known[w.first + w.doc[first]]
                 first, n, least, own = first[ok], n[ok], least[ok], own[ok]
@@ -98,55 +98,60 @@ def _cut(window: int, buckets: int):
                 parts.append(
                     (
                         np.full(len(first), len(texts)), w.starts[first], w.ends[first + n + window - 2], least, own,
-                        ids[w.first + doc], first - w.bounds[doc], n,
+                        ids[w.first + doc], first - w.bounds[doc] + w.base, n,
                     )
                 )
                 texts.append(w.text.tobytes())
-            if not parts:
-                continue
-            of, start, end, least, own, doc, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((at, doc, own))
-            marked, lead = np.zeros(len(order), dtype=bool), -1
-            alike = np.zeros(len(order), dtype=bool)
-            alike[1:] = own[order][1:] == own[order][:-1]
-            for i in np.flatnonzero(alike | np.append(alike[1:], False)):  # only those that may have copies
-                x = order[i]
-                if not alike[i]:
-                    lead = x
-                elif texts[of[x]][start[x] : end[x]] == texts[of[lead]][start[lead] : end[lead]]:
-                    marked[x] = True
-            out = {"bucket": [], "kind": [], "windows": [], "packed": []}
-            if marked.any():
-                x = np.flatnonzero(marked)
-                # A repeated row of one document marks nothing: its first copy stands at the same place.
-                lead_of = _leaders(order, alike, marked)
-                x = x[(doc[x] != doc[lead_of[x]]) | (at[x] != at[lead_of[x]])]
-                out["bucket"].append((turn := turn + 1) % buckets)
-                out["kind"].append(1)
-                out["windows"].append(0)
-                out["packed"].append(_pack(doc[x], at[x], at[x] + n[x] + window - 1, b""))
-            x = np.flatnonzero(~marked)
-            bucket = (least[x] % np.uint64(buckets)).astype(np.int64)
-            x = x[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets + 1))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                y = x[a:b]
-                text = b"".join(
-                    texts[t][s : e + 1] for t, s, e in zip(of[y].tolist(), start[y].tolist(), end[y].tolist(), strict=True)
-                )
-                out["bucket"].append(int(bucket[a]))
-                out["kind"].append(0)
-                out["windows"].append(int(n[y].sum()))
-                out["packed"].append(_pack(doc[y], at[y], n[y], text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[c], t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
-                names=[*out],
-            )
+                held += len(texts[-1])
+                if held >= PIECE:  # a long text goes out as it is read
+                    yield _bucketed(parts, texts, window, buckets, turn := turn + 1)
+                    parts, texts, held = [], [], 0
+            if parts:
+                yield _bucketed(parts, texts, window, buckets, turn := turn + 1)
 
     return run
 
 
+def _bucketed(parts: list[tuple], texts: list[bytes], window: int, buckets: int, turn: int) -> pa.RecordBatch:
+    """Packed super-k-mers by bucket, and those that are marked, in a bucket by turn."""
+    of, start, end, least, own, doc, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, doc, own))
+    marked, lead = np.zeros(len(order), dtype=bool), -1
+    alike = np.zeros(len(order), dtype=bool)
+    alike[1:] = own[order][1:] == own[order][:-1]
+    for i in np.flatnonzero(alike | np.append(alike[1:], False)):  # only those that may have copies
+        x = order[i]
+        if not alike[i]:
+            lead = x
+        elif texts[of[x]][start[x] : end[x]] == texts[of[lead]][start[lead] : end[lead]]:
+            marked[x] = True
+    out = {"bucket": [], "kind": [], "windows": [], "packed": []}
+    if marked.any():
+        x = np.flatnonzero(marked)
+        # A repeated row of one document marks nothing: its first copy stands at the same place.
+        lead_of = _leaders(order, alike, marked)
+        x = x[(doc[x] != doc[lead_of[x]]) | (at[x] != at[lead_of[x]])]
+        out["bucket"].append(turn % buckets)
+        out["kind"].append(1)
+        out["windows"].append(0)
+        out["packed"].append(_pack(doc[x], at[x], at[x] + n[x] + window - 1, b""))
+    x = np.flatnonzero(~marked)
+    bucket = (least[x] % np.uint64(buckets)).astype(np.int64)
+    x = x[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets + 1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        y = x[a:b]
+        text = b"".join(texts[t][s : e + 1] for t, s, e in zip(of[y].tolist(), start[y].tolist(), end[y].tolist(), strict=True))
+        out["bucket"].append(int(bucket[a]))
+        out["kind"].append(0)
+        out["windows"].append(int(n[y].sum()))
+        out["packed"].append(_pack(doc[y], at[y], n[y], text))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out[c], t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=[*out]
+    )
+
+
 def _leaders(order: np.ndarray, alike: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """For each super-k-mer the first one of its kind."""
     head = np.where(~alike, np.arange(len(order)), 0)
@@ -266,17 +271,28 @@ def _strip(with_text: bool):
                     n = int(b - a)
                     change = np.zeros(n + 1, dtype=np.int32)
                     if valid[row]:
-                        x, y = at[row] , at[row + 1]
-                        np.add.at(change, np.minimum(first[x:y], n), 1)
-                        np.add.at(change, np.minimum(last[x:y], n), -1)
+                        x, y = at[row], at[row + 1]
+                        np.add.at(change, np.clip(first[x:y] - w.base, 0, n), 1)
+                        np.add.at(change, np.clip(last[x:y] - w.base, 0, n), -1)
                     kept = np.cumsum(change)[:n] == 0
                     edge = np.flatnonzero(np.diff(kept, prepend=False, append=False)) + a
                     runs = [raw[w.starts[s] : w.ends[e - 1]] for s, e in zip(edge[::2], edge[1::2], strict=True)]
                     text = b" ".join(runs)
-                    n_words.append(n)
-                    n_removed.append(n - int(kept.sum()))
-                    sums.append(hashlib.sha256(text).hexdigest())
-                    texts.append(text if with_text else None)
+                    if not w.base:
+                        digest, total, removed, said, told = hashlib.sha256(), 0, 0, False, []
+                    if text and said:
+                        text = b" " + text
+                    said = said or bool(text)
+                    digest.update(text)
+                    total, removed = total + n, removed + n - int(kept.sum())
+                    if with_text:
+                        told.append(text)
+                    if w.more:
+                        continue
+                    n_words.append(total)
+                    n_removed.append(removed)
+                    sums.append(digest.hexdigest())
+                    texts.append(b"".join(told) if with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),

@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from odd_rows import ODD
 
-from meshframe.llm import html_text, language_id, simhash_dedup, substring_dedup, toxicity
+from meshframe.llm import bytewords, html_text, language_id, simhash_dedup, substring_dedup, toxicity
 from meshframe.llm.bytewords import Hashes, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,6 +36,55 @@ def test_words_of_a_column():
     assert rows == len(texts) and got == {i: WORD.findall(t or "") for i, t in enumerate(texts)}
 
 
+LONG_TEXTS = [
+    None, "x", " ".join(f"w{i % 17}" for i in range(400)), "a" * 90 + " B", " \t" * 60, "q" * 200, "é " * 80 + "z" * 100 + " end", "one two",
+    " ".join(f"w{i % 17}" for i in range(30)), "lead " + "b" * 300 + " tail " * 30,
+]
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 4, 19])
+def test_long_texts_come_in_overlapping_slices(monkeypatch, overlap):
+    monkeypatch.setattr(bytewords, "SLICE_BYTES", 64)
+    got = {}
+    for w in words_of(pa.array(LONG_TEXTS), overlap=overlap):
+        raw = w.text.tobytes()
+        assert not (w.more and w.n_docs > 1) and (not w.more or len(w.starts) > overlap)
+        for i in range(w.n_docs):
+            a, b = w.bounds[i : i + 2]
+            words = [raw[s:e].decode() for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True)]
+            old = got.setdefault(w.first + i, [])
+            assert old[w.base :] == words[: len(old) - w.base] and (not w.base or len(old) - w.base == overlap)
+            old[w.base :] = words
+    assert got == {i: WORD.findall(t or "") for i, t in enumerate(LONG_TEXTS)}
+
+
+@pytest.mark.parametrize("size", [16, 64, 1 << 21])
+def test_operators_on_slices_of_long_texts(monkeypatch, size):
+    """The slices' size changes no fingerprint, window or digest."""
+    ids = pa.array(range(len(LONG_TEXTS)))
+    texts = pa.array(LONG_TEXTS)
+    batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
+    wide = pa.RecordBatch.from_arrays([ids, ids, texts], names=["__id", "__row", "text"])
+    usual = next(simhash_dedup._wide(iter([wide])))
+    monkeypatch.setattr(bytewords, "SLICE_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "PIECE", 2 * size)
+    got = next(simhash_dedup._fingerprints(iter([batch])))
+    assert [x % (1 << 64) for x in got.column(1).to_pylist()] == [fingerprint(t) for t in LONG_TEXTS]
+    assert next(simhash_dedup._wide(iter([wide]))).equals(usual)
+
+    sent = pa.Table.from_batches(substring_dedup._cut(20, 7)(iter([batch])))
+    found = [substring_dedup._count(20)(sent.filter(pa.compute.equal(sent["bucket"], b))).to_pylist() for b in range(7)]
+    marks = [[] for _ in LONG_TEXTS]
+    for r in (r for f in found for r in f):
+        marks[r["doc_id"]].append({"first": r["first"], "last": r["last"]})
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    rows = pa.RecordBatch.from_arrays([ids, texts, pa.array([m or None for m in marks], kind)], names=["doc_id", "text", "__marks"])
+    done = next(substring_dedup._strip(True)(iter([rows]))).to_pylist()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in done} == brute_substrings(list(enumerate(LONG_TEXTS)))
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in done)
+    assert sum(r["n_removed"] for r in done) > 350
+
+
 def test_hashes_do_not_depend_on_place():
     text = np.frombuffer(b"the cat the cat sat the cat " * 1000, dtype=np.uint8)
     h = Hashes(text).of(np.array([0, 8, 20, 28 * 999, 4]), np.array([7, 15, 27, 28 * 999 + 7, 11]))
