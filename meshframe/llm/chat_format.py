@@ -5,9 +5,9 @@ and merged into one block, and the blocks are concatenated:
 
     ### user: text <+> text </turn>
 
-`#`, `<` and `\` in texts and roles become `\h`, `\l` and `\s`, so control strings never occur inside a text and every
-text can be read back. The result also comes as segments with a mark, which is the loss mask: the marked ones are the
-assistant's texts.
+`#`, `<`, `:` and `\` in texts and roles become `\h`, `\l`, `\c` and `\s`, so control strings never occur inside a text
+and every text can be read back. A block is made as segments with a mark, and the formatted text is these segments joined:
+the marks are its loss mask, on the assistant's texts.
 """
 
 from __future__ import annotations
@@ -58,8 +58,6 @@ def format_chats(
         "turns", h + 1, F.coalesce(F.get(F.col("heads"), j + 1), F.size("turns")) - h
     )
     runs = runs.withColumn("blocks", F.transform("heads", block))
-    said = lambda b: F.array_join(F.transform(b, lambda t: escaped(t["text"])), JOIN)
-    whole = F.transform("blocks", lambda b: F.concat(F.lit(OPEN), escaped(b[0]["role"]), F.lit(SAYS), said(b), F.lit(CLOSE)))
 
     def piece(text: Column, marked: bool) -> Column:
         return F.struct(text.alias("text"), F.lit(marked).alias("in_loss"))
@@ -75,9 +73,8 @@ def format_chats(
         )
         return F.concat(F.flatten(inner), F.array(piece(F.lit(CLOSE), False)))
 
-    return runs.select(
-        "conv_id", F.array_join(whole, "").alias("formatted"), F.flatten(F.transform("blocks", parts)).alias("segments")
-    )
+    cut = runs.select("conv_id", F.flatten(F.transform("blocks", parts)).alias("segments"))
+    return cut.select("conv_id", F.array_join("segments.text", "").alias("formatted"), "segments")
 
 
 def read_back(formatted: Column) -> Column:
