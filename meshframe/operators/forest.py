@@ -19,6 +19,7 @@ from .mesh import BLOCK, Mesh
 CHUNK = 1 << 16
 #: Nodes that the driver decodes by itself, about 60 bytes each.
 SMALL = 100_000
+WRONG_WALK = "the walk has more or fewer nodes than its trees"
 LOW = Window.unboundedPreceding
 
 
@@ -235,13 +236,15 @@ def _small_blocks(bits: list[bool], ng: tuple[int, int, int]) -> pa.Table:
         todo = [(1, *b)]
         while todo:
             level, x, y, z = todo.pop()
+            if at == len(bits):
+                raise ValueError(WRONG_WALK)
             leaves += bits[at]
             rows.append((leaves if bits[at] else -1, level, x, y, z, bits[at], root))
             if not bits[at]:
                 todo += [(level + 1, 2 * x + (c & 1), 2 * y + (c >> 1 & 1), 2 * z + (c >> 2)) for c in range(7, -1, -1)]
             at += 1
     if at != len(bits):
-        raise ValueError("the walk has more nodes than its trees")
+        raise ValueError(WRONG_WALK)
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
     names = ("igrid", "level", *BLOCK, "is_leaf", "root")
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
@@ -249,11 +252,17 @@ def _small_blocks(bits: list[bool], ng: tuple[int, int, int]) -> pa.Table:
 
 def mesh_blocks(spark: SparkSession, bits: DataFrame, ng: tuple[int, int, int], small: int = SMALL) -> DataFrame:
     """The decoded blocks (igrid, level, b1, b2, b3, is_leaf, root), held or written out once: every operator joins
-    them, and none should decode them again. A walk of at most `small` nodes is decoded on the driver."""
+    them, and none should decode them again. A walk of at most `small` nodes is decoded on the driver. A walk that does not
+    end with its last tree is an error either way."""
     head = bits.select("pos", "is_leaf").limit(small + 1).collect()
     if len(head) <= small:
         return spark.createDataFrame(_small_blocks([r.is_leaf for r in sorted(head)], ng))
-    return checkpointed(decode(bits, level1_order(spark, ng)).select("igrid", "level", *BLOCK, "is_leaf", "root"))
+    blocks = checkpointed(decode(bits, level1_order(spark, ng)).select("igrid", "level", *BLOCK, "is_leaf", "root"))
+    # Nodes beyond the last tree meet no root; a tree that is cut off leaves places open.
+    n, step = blocks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("is_leaf"), -1).otherwise(7))).first()
+    if n != bits.count() or step != -ng[0] * ng[1] * ng[2]:
+        raise ValueError(WRONG_WALK)
+    return blocks
 
 
 def unbalanced(mesh: Mesh) -> DataFrame:

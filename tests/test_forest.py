@@ -106,6 +106,13 @@ def test_decode_and_encode(spark, seed, chunk, monkeypatch):
     assert all(r.ok for r in forest.check_tree(nodes).collect())
 
 
+@pytest.mark.parametrize("small", [0, 100])
+@pytest.mark.parametrize("bits", [[1] * 9, [1] * 7, [1] * 7 + [0] + [1] * 7, [0] + [1] * 16, []])
+def test_walks_that_do_not_end_with_their_trees(spark, bits, small):
+    with pytest.raises(ValueError, match="more or fewer nodes"):
+        forest.mesh_blocks(spark, as_bits(spark, [bool(b) for b in bits]), (2, 2, 2), small)
+
+
 def test_periodic_roots(spark):
     n = forest.root_neighbors(forest.level1_order(spark, (2, 2, 2)), (2, 2, 2), (True, True, True))
     assert n.where("n1 IS NULL").count() == 0
