@@ -21,6 +21,8 @@ DOCS_A_SHARD = 1024
 MAX_BLOCK = 1024
 #: Blocks are no larger than this fraction of all tokens.
 LEAST_BLOCKS = 100_000
+#: The smallest positive target is so many blocks, unless a block is one word.
+LEAST_A_SOURCE = 16
 #: A list of at most so many sources is broadcast.
 SOURCES_LIMIT = 10_000
 SEED = "mix-1"
@@ -109,7 +111,7 @@ def mix_sources(
     """What the mix takes of every document: (doc_id, size, source_size, target, taken), and its source.
 
     size counts the words of the whole text (null: 0); taken counts words with repeats and never exceeds MAX_EPOCHS
-    times size. A null source is a source of its own, the last one. Rows with equal identifiers are separate rows that
+    times size. A block is small enough for the smallest source to get some. A null source is a source of its own, the last one. Rows with equal identifiers are separate rows that
     stand next to each other in the order. Without any words all targets and takings are 0. No rows give no rows. The
     result depends on the rows and the seed alone, not on partitions. The seeded order is that of order_by, else of the
     identifier. Other columns are ignored.
@@ -123,9 +125,11 @@ def mix_sources(
         )
     )
     targets = checkpointed(source_targets(sizes))
+    n_sources, least = targets.agg(F.count(F.lit(1)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    small = F.floor(F.lit(least or 0.0) / LEAST_A_SOURCE)
     plan = targets.withColumn(
         "__block",
-        F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / LEAST_BLOCKS))).cast("long"),
+        F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / LEAST_BLOCKS), small)).cast("long"),
     )
     plan = plan.withColumn("__all", F.lit(1)).withColumn("__seats", F.floor(F.col("total") / F.col("__block")).cast("long"))
     plan = apportion(plan, ["__all"], "source", "target", "__seats").withColumn(
@@ -135,7 +139,7 @@ def mix_sources(
         F.col("source").alias("__source"), "source_size", "target", "__block", F.col("quota").alias("__blocks"), "__shards"
     )
     # One row a source; the list is counted before it is broadcast, so a hot source's documents stay where they are.
-    few = targets.count() <= SOURCES_LIMIT
+    few = n_sources <= SOURCES_LIMIT
     rows = sizes.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
         "__shard", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % F.col("__shards")
     )
@@ -224,10 +228,12 @@ WITH sizes AS (
   SELECT *, first_value(CASE WHEN lev <= stop THEN lev END IGNORE NULLS)
          OVER (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS free FROM s4
 ), s6 AS (
-  SELECT 1 AS one, source, n_docs, source_size, total, least(cap::DOUBLE, w * coalesce(free, 'infinity'::DOUBLE)) AS target,
-         greatest(1, least({MAX_BLOCK}, total // {LEAST_BLOCKS}))::BIGINT AS block FROM s5
+  SELECT 1 AS one, source, n_docs, source_size, total, least(cap::DOUBLE, w * coalesce(free, 'infinity'::DOUBLE)) AS target FROM s5
+), s6b AS (
+  SELECT *, greatest(1, least({MAX_BLOCK}, total // {LEAST_BLOCKS},
+         floor(coalesce(min(CASE WHEN target > 0 THEN target END) OVER (), 0.0) / {LEAST_A_SOURCE})))::BIGINT AS block FROM s6
 ), s7 AS (
-  SELECT *, total // block AS seats FROM s6
+  SELECT *, total // block AS seats FROM s6b
 ), {_apportion_sql("src", "s7", "one", "source", "target", "seats")},
 rws AS (
   SELECT z.doc_id, z.source, z.size, z.ord, p.source_size, p.target, p.block, p.quota AS blocks,

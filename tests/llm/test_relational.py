@@ -219,6 +219,28 @@ def test_mixing(docs_of):
     assert [(r.size, r.target, r.taken) for r in empty] == [(0, 0.0, 0)] * 2
 
 
+def test_small_sources_get_their_target_beside_large_ones(docs_of):
+    rows = [(i, "w " * 100_000, "en", "large" if i % 2 else "other") for i in range(30)]
+    rows += [(100, "a b c d e", "en", "small"), (101, "x", "en", "tiny"), (102, "", "en", "none")]
+    took = {r.source: (r.taken, r.target) for r in mixing.mix_sources(docs_of(rows)).collect() if r.size < 10}
+    assert took["none"] == (0, 0.0)
+    assert all(t > 0 and abs(n - t) <= 1 for n, t in (took["small"], took["tiny"]))
+
+
+def test_mixing_sql_says_the_same(docs_of):
+    import duckdb
+
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 3000), "en", rng.choice(["a", "b", None])) for i in range(400)] + [(900, "x y z", "en", "few"), (901, None, "en", "z")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(mixing.OP10_SQL)
+    names = [x[0] for x in want.description]
+    got = mixing.mix_sources(docs_of(rows)).select(*names).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == sorted(want.fetchall())
+
+
 def test_mixing_odd_rows(odd):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == len(ODD) and sum(r.taken for r in got) == sum(r.size for r in got)
